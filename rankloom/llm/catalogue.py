@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import offence, quantiles
+from . import consensus, leakage, offence, packing, quantiles, stuffing
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +40,86 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_ranking(spark, sf_dir).orderBy(F.desc("strength"), "item").limit(12).select("item")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_ranking)}
+def _consensus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, consensus.Model]:
+    codings = table(spark, sf_dir, "codings")
+    return codings, *consensus.consensus(codings, consensus.unit_columns(codings))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, labelled, _ = _consensus(spark, sf_dir)
+    return labelled.filter("codes >= 3 and different > 1").select("sheet_id", "unit", "label")
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[1]
+
+
+def p1_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codings, _, model = _consensus(spark, sf_dir)
+    return consensus.raters_frame(codings, model)
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of all units under three distances."""
+    _, _, model = _consensus(spark, sf_dir)
+    pairable = int(round(model.coincidence.sum()))
+    rows = [(d, round(consensus.krippendorff(model.coincidence, d)[0], 6), pairable) for d in ("nominal", "ordinal", "interval")]
+    return spark.createDataFrame(rows, "distance string, alpha double, pairable bigint")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.split_texts(p6_containers(spark, sf_dir), "doc_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.judge(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.found(p8_words(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_labels, p1_raters, p1_agreement, p2_found, p2_percentiles, p3_found, p3_ranking,
+        p6_found, p6_containers, p7_found, p7_leaks, p8_found, p8_words,
+    )
+}
 
 _RUNS = """
  runs AS (SELECT DISTINCT ON (run_id) * FROM rust_python WHERE time > 0 AND isfinite(time)),
  spans AS (SELECT algorithm, solver, time, strftime(started_at, '%Y-%m-%d') AS run_span FROM runs
   UNION ALL SELECT algorithm, solver, time, strftime(started_at, '%G-W%V') FROM runs)"""
 
+# a code: full-width digits and brackets read as plain ones
+_CODE = r"""try_cast(regexp_extract(translate(v, '０１２３４５６７８９（）．　', '0123456789(). '), '^[ ]*[+]?[(]?[ ]*0*([1-5])([.,]0*)?[ ]*[)]?[ ]*$', 1) AS BIGINT)"""
+_UNITS = f"""
+ latest AS (SELECT DISTINCT ON (sheet_id, rater) * FROM codings ORDER BY sheet_id, rater, coded_at DESC, received_at DESC),
+ long AS (SELECT sheet_id, name AS unit, {_CODE} AS c FROM (UNPIVOT latest ON c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11 INTO NAME name VALUE v)),
+ kept AS (SELECT * FROM long WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY sheet_id, unit) > 1),
+ n AS (SELECT sheet_id, unit, c, count(*) AS n, any_value(m) AS m FROM (SELECT *, count(*) OVER (PARTITION BY sheet_id, unit) AS m FROM kept) GROUP BY ALL),
+ co AS (SELECT a.c AS c, b.c AS k, sum(a.n * (b.n - CASE WHEN a.c = b.c THEN 1 ELSE 0 END) / (a.m - 1.0)) AS o FROM n a JOIN n b USING (sheet_id, unit) GROUP BY ALL),
+ marg AS (SELECT c, sum(o) AS n, sum(sum(o)) OVER (ORDER BY c) - sum(o) / 2 AS place FROM co GROUP BY c),
+ tot AS (SELECT sum(n) AS t FROM marg),
+ pairs AS (SELECT a.c AS c, b.c AS k, (a.n * b.n - CASE WHEN a.c = b.c THEN a.n ELSE 0 END) / (t - 1) AS e, a.place AS pc, b.place AS pk FROM marg a, marg b, tot),
+ dist AS (SELECT 'nominal' AS distance, c, k, e, CASE WHEN c = k THEN 0.0 ELSE 1.0 END AS d FROM pairs UNION ALL SELECT 'ordinal', c, k, e, power(pc - pk, 2) FROM pairs UNION ALL SELECT 'interval', c, k, e, power(c - k, 2) FROM pairs)"""
+
 ORACLES = {
+    "p1_agreement": f"""WITH {_UNITS} SELECT distance, round(1 - sum(coalesce(o, 0) * d) / sum(e * d), 6) AS alpha, cast(round(any_value(t)) AS BIGINT) AS pairable
+ FROM dist LEFT JOIN co USING (c, k), tot GROUP BY distance""",
     "p2_found": f"""WITH {_RUNS}, q AS (SELECT algorithm, solver, run_span, 50 AS pct, quantile_disc(time, 0.5) AS v FROM spans GROUP BY ALL
   UNION ALL SELECT algorithm, solver, run_span, 95, quantile_disc(time, 0.95) FROM spans GROUP BY ALL)
  SELECT algorithm, solver, run_span, cast(pct AS BIGINT) AS pct FROM q JOIN time_limits USING (algorithm, solver, pct) WHERE v > limit_s""",
