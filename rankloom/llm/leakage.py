@@ -173,22 +173,25 @@ class Items:
 
 
 def chains(hits: list[tuple[int, int]], m: int) -> list[tuple[int, int, set[int]]]:
-    """Occurrences (place in item, place in document) of m words joined along the text: (first, last word in document, words of the item)."""
-    out: list[list] = []
+    """Occurrences (place in item, place in document) of m words joined along the document: (first word, word after the last, words of the item).
+
+    Only chains that end within reach are looked at, so long documents take time in proportion.
+    """
+    closed: list[list] = []
+    opened: list[list] = []
     for p, q in sorted(hits, key=lambda h: (h[1], h[0])):
-        for chain in reversed(out):
-            lp, lq, _, _ = chain
-            if q - lq > GAP + m:
-                continue
-            if 0 < p - lp <= GAP + m and abs((q - lq) - (p - lp)) <= GAP:
+        reach = [c for c in opened if q - c[1] <= GAP + m]
+        if len(reach) < len(opened):
+            closed += [c for c in opened if q - c[1] > GAP + m]
+            opened = reach
+        for chain in reversed(opened):
+            if 0 < p - chain[0] <= GAP + m and abs((q - chain[1]) - (p - chain[0])) <= GAP:
                 chain[0], chain[1] = p, q
                 chain[3].update(range(p, p + m))
                 break
         else:
-            out.append([p, q, q, set(range(p, p + m))])
-        if len(out) > 64:  # chains that can't go on are kept aside by the caller's order; only recent ones are looked at
-            out.sort(key=lambda c: c[1])
-    return [(first, last + m, covered) for _, last, first, covered in out]
+            opened.append([p, q, q, set(range(p, p + m))])
+    return [(first, last + m, covered) for _, last, first, covered in closed + opened]
 
 
 def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
@@ -226,7 +229,7 @@ def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[in
     spots: dict[int, list] = {}
     for (doc, item), hits in found.items():
         m, size = hits[0][2], len(items.words[item])
-        if len({p for p, _, _ in hits}) + m - 1 <= SHARE * size and len(hits) * m <= SHARE * size:
+        if len({p for p, _, _ in hits}) * m <= SHARE * size:
             continue
         good = [c for c in chains([h[:2] for h in hits], m) if len(c[2]) >= min(CHAIN, size)]
         share = len(set().union(*(c[2] for c in good))) / size if good else 0.0
