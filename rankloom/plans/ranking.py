@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import log as lg
-from ..operators import matrices, ranking, reliability, report, resampling
+from ..operators import distributed, matrices, ranking, reliability, report, resampling
 from ..session import table
 from ..sources import io
+from ..streaming import live
 from . import solver_sql as sql
 from . import views
 
@@ -411,3 +412,53 @@ def timings_explode(s: SparkSession, d: str) -> DataFrame:
     runs = table(s, d, "rust_python").filter(~F.isnan("time") & (F.abs("time") < float("inf")))
     long = runs.select("algorithm", F.explode(F.array(F.col("time"), 2 * F.col("time"))).alias("t"))
     return long.groupBy("algorithm").agg(F.count("*").alias("n"), F.round(F.sum("t"), 4).alias("total"))
+
+
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    path = f"{d}/{name}.parquet"
+    known = s.read.parquet(path)
+    reader = s.readStream.schema(known.schema)
+    # a file source reads folders: the table's own, or that of its single file
+    single = [f for f in known.inputFiles() if f.endswith(f"/{name}.parquet")]
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d) if single else reader.parquet(path)
+
+
+def _played(df: DataFrame, name: str, mode: str) -> DataFrame:
+    """The sink of a stream run over what there is: as many rows as items, windows or updates."""
+    run = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query("pts AS (SELECT \"left\" AS item, CASE lower(winner) WHEN 'left' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0 END AS s FROM food WHERE lower(winner) IN ('left', 'right', 'tie') UNION ALL SELECT \"right\", CASE lower(winner) WHEN 'right' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0 END FROM food WHERE lower(winner) IN ('left', 'right', 'tie')) SELECT item, sum(s)::DOUBLE AS score FROM pts GROUP BY item")
+def stream_counting(s: SparkSession, d: str) -> DataFrame:
+    return _played(live.live_counting(_stream(s, d, "food")), "rankloom_stream_counting", "complete")
+
+
+@query("pts AS (SELECT strftime(judged_at, '%Y-%m-%d') AS start, \"left\" AS item, CASE lower(winner) WHEN 'left' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0 END AS s FROM food WHERE lower(winner) IN ('left', 'right', 'tie') UNION ALL SELECT strftime(judged_at, '%Y-%m-%d'), \"right\", CASE lower(winner) WHEN 'right' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0 END FROM food WHERE lower(winner) IN ('left', 'right', 'tie')) SELECT start, item, sum(s)::DOUBLE AS score FROM pts GROUP BY ALL")
+def stream_days(s: SparkSession, d: str) -> DataFrame:
+    food = _stream(s, d, "food").withColumn("judged_at", F.col("judged_at").cast("timestamp"))
+    days = _played(live.windowed_counting(food, "judged_at", late="365 days"), "rankloom_stream_days", "complete")
+    return days.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "item", "score")
+
+
+@query()
+def stream_elo(s: SparkSession, d: str) -> DataFrame:
+    events = _stream(s, d, "events").select(F.col("event_type").alias("left"), F.lit("baseline").alias("right"), F.when(F.col("value") > 50, "left").otherwise("right").alias("winner"), "event_id", (F.col("user_id") % 3).alias("grp"))
+    return _played(live.live_elo(events, "grp", "event_id"), "rankloom_stream_elo", "update")
+
+
+@query()
+def distributed_bradley_terry(s: SparkSession, d: str) -> DataFrame:
+    return scored(distributed.bradley_terry(views.events_log(s, d)), 4)
+
+
+ORACLES["distributed_bradley_terry"] = ORACLES["bradley_terry"].replace("round(p[k + 1], 6)", "round(p[k + 1], 4)")
+
+
+@query()
+def distributed_pagerank(s: SparkSession, d: str) -> DataFrame:
+    return scored(distributed.pagerank(views.events_log(s, d)))
+
+
+ORACLES["distributed_pagerank"] = ORACLES["pagerank"]
