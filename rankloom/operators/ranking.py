@@ -8,7 +8,7 @@ log: rows are shuffled by leaderboard, sorted (spilling as needed) and streamed
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -125,25 +125,32 @@ def _finite(x: float) -> float:
 
 
 class EloRatings:
-    """Ratings of one leaderboard; `play` takes one comparison after the other."""
+    """Ratings of one leaderboard."""
 
     def __init__(self, initial: float = 1000.0, base: float = 10.0, scale: float = 400.0, k: float = 4.0, win_weight: float = 1.0, tie_weight: float = 0.5) -> None:
         self.initial, self.scale, self.k = initial, scale, k
         self.log_base, self.win, self.tie = math.log(base), win_weight, tie_weight
         self.score: dict[str, float] = {}
 
-    def play(self, left: str, right: str, winner: int, weight: float) -> None:
-        a, b = self.score.get(left, self.initial), self.score.get(right, self.initial)
-        # the expectation of the left side is 1 / (1 + base ** ((b - a) / scale)), which stays finite where the powers do not
-        z = (b - a) / self.scale * self.log_base
-        expected = 1 / (1 + math.exp(z)) if z < 700 else 0.0
-        won, lost = (weight * self.win if winner == LEFT else 0.0), (weight * self.win if winner == RIGHT else 0.0)
-        if winner == DRAW:
-            won = lost = weight * self.tie
-        if left == right:
-            self.score[left] = _finite(a + self.k * (won + lost - 1.0))
-        else:
-            self.score[left], self.score[right] = _finite(a + self.k * (won - expected)), _finite(b + self.k * (lost - (1 - expected)))
+    def play(self, left: Iterable[str], right: Iterable[str], winner: Iterable[int], weight: Iterable[float]) -> None:
+        """One comparison after the other; the loop holds plain floats only."""
+        score, initial, k, exp = self.score, self.initial, self.k, math.exp
+        rate = self.log_base / self.scale
+        points = {LEFT: (self.win, 0.0), RIGHT: (0.0, self.win), DRAW: (self.tie, self.tie)}
+        for x, y, outcome, w in zip(left, right, winner, weight):
+            a, b = score.get(x, initial), score.get(y, initial)
+            # the expectation of the left side is 1 / (1 + base ** ((b - a) / scale)), which stays finite where the powers do not
+            z = (b - a) * rate
+            expected = 1 / (1 + exp(z)) if z < 700 else 0.0
+            won, lost = points[outcome]
+            if x == y:
+                score[x] = a + k * (w * (won + lost) - 1)
+            else:
+                score[x] = a + k * (w * won - expected)
+                score[y] = b + k * (w * lost - 1 + expected)
+
+    def finite(self) -> list[float]:
+        return [_finite(x) for x in self.score.values()]
 
 
 def elo(log: Log, index: DataFrame | None = None, initial: float = 1000.0, base: float = 10.0, scale: float = 400.0, k: float = 4.0, win_weight: float = 1.0, tie_weight: float = 0.5, **_: object) -> DataFrame:
@@ -167,17 +174,22 @@ def elo(log: Log, index: DataFrame | None = None, initial: float = 1000.0, base:
         def out() -> pa.RecordBatch:
             n = len(ratings.score)
             columns = [pa.array([x] * n, t) for x, t in zip(current, key_types)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(list(ratings.score), pa.string()), pa.array(list(ratings.score.values()), pa.float64())], [*keys, "item", "score"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(ratings.score), pa.string()), pa.array(ratings.finite(), pa.float64())], [*keys, "item", "score"])
 
         for batch in batches:
             key_types = [batch.schema.field(c).type for c in keys]
             columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-            for *key, left, right, winner, weight in zip(*columns):
+            groups = list(zip(*columns[: len(keys)])) if keys else []
+            starts = [0, *(n for n in range(1, len(groups)) if groups[n] != groups[n - 1]), batch.num_rows]
+            for low, high in zip(starts, starts[1:]):
+                if low == high:
+                    continue
+                key = groups[low] if keys else ()
                 if key != current:
                     if current is not None:
                         yield out()
                     current, ratings = key, EloRatings(*arguments)
-                ratings.play(left, right, winner, weight)
+                ratings.play(*(c[low:high] for c in columns[len(keys) :]))
         if current is not None:
             yield out()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.log import Log, prepare
+from ..operators.log import Log, prepare, winner_code
 from ..operators.reliability import ratings
 from ..operators.skew import label_key
 from ..session import table
@@ -31,9 +31,14 @@ def brand_log(spark: SparkSession, sf_dir: str) -> Log:
 
 
 def food_log(spark: SparkSession, sf_dir: str) -> Log:
-    """The log of dishes: each number once, labels without letter case and outer blanks, valid outcomes only, unusable weights as 1."""
-    rows = table(spark, sf_dir, "food").select("ord", label_key("left").alias("left"), label_key("right").alias("right"), label_key("winner").alias("winner"), F.when(F.isnan("weight"), 1.0).otherwise(F.coalesce("weight", F.lit(1.0))).alias("w"))
-    return prepare(rows.dropDuplicates(["ord"]), weight="w", order="ord")
+    """The log of dishes: each number once, labels without letter case and outer blanks, valid outcomes only, unusable weights as 1.
+
+    Deliveries of a number agree in all but the time, so the labels may be part of the key, which leaves fixed-width values to aggregate by hash.
+    """
+    code = winner_code(F.btrim("winner", F.lit(" \t")))
+    rows = table(spark, sf_dir, "food").select("ord", label_key("left").alias("left"), label_key("right").alias("right"), code.alias("winner"), F.when(F.isnan("weight"), 1.0).otherwise(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    once = rows.filter("winner is not null").groupBy("ord", "left", "right").agg(F.first("winner").alias("winner"), F.first("w").alias("w"))
+    return prepare(once, weight="w", order="ord")
 
 
 def coding_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,8 @@ def live_elo(stream: DataFrame, by: str, order: str, initial: float = 1000.0, ba
         if state.exists:
             ratings.score = dict(zip(*state.get))
         rows = pd.concat(list(frames)).sort_values(["ord", "left", "right", "winner", "weight"])
-        for left, right, winner, weight in rows[["left", "right", "winner", "weight"]].itertuples(index=False, name=None):
-            ratings.play(left, right, winner, weight)
+        ratings.play(*(rows[c].tolist() for c in ("left", "right", "winner", "weight")))
         state.update((list(ratings.score), list(ratings.score.values())))
-        yield pd.DataFrame({by: key[0], "item": list(ratings.score), "score": list(ratings.score.values())})
+        yield pd.DataFrame({by: key[0], "item": list(ratings.score), "score": ratings.finite()})
 
     return log.df.groupBy(by).applyInPandasWithState(play, f"`{by}` {kind}, item string, score double", "items array<string>, scores array<double>", "update", GroupStateTimeout.NoTimeout)
