@@ -96,14 +96,13 @@ def eigen(log: Log, index: DataFrame | None = None, win_weight: float = 1.0, tie
     step = 0
     while n and step < limit:
         step += 1
-        flow = e.join(state.select(F.col("item").alias("i"), "p"), "i").groupBy(F.col("j").alias("item")).agg(F.sum(F.col("a") * F.col("p")).alias("f"))
-        new = state.select("item").join(flow, "item", "left")
-        if lost is None:
-            new = new.select("item", F.coalesce("f", F.lit(0.0)).alias("p"))
-        else:
+        source, target = ("i", "j") if lost is None else ("j", "i")
+        flow = e.join(state.select(F.col("item").alias(source), "p"), source).groupBy(F.col(target).alias("item")).agg(F.sum(F.col("a") * F.col("p")).alias("f"))
+        new = state.select("item").join(flow, "item", "left").select("item", F.coalesce("f", F.lit(0.0)).alias("p"))
+        if lost is not None:
             total = state.agg(F.sum("p")).first()[0]
-            met = new.join(lost, "item", "left")
-            new = met.select("item", (damping * F.when(F.col("lost").isNull(), F.lit(total / n)).otherwise(F.coalesce("f", F.lit(0.0))) + F.lit((1 - damping) / n * total)).alias("p"))
+            stuck = state.join(lost, "item", "left_anti").agg(F.sum("p")).first()[0] or 0.0
+            new = new.select("item", (damping * (F.col("p") + F.lit(stuck / n)) + F.lit((1 - damping) / n * total)).alias("p"))
         new = cut(new)
         norm = math.sqrt(new.agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0) or 1.0
         new = new.select("item", (F.col("p") / norm).alias("p"))

@@ -107,17 +107,15 @@ def eigen(e: Edges, win_weight: float = 1.0, tie_weight: float = 0.5, tolerance:
 
 
 def pagerank(e: Edges, win_weight: float = 1.0, tie_weight: float = 0.5, damping: float = 0.85, tolerance: float = 1e-6, limit: int = 100) -> tuple[np.ndarray, int]:
-    """Power iteration on damped losses: the row of an item that never lost is uniform. Scores add up to 1."""
+    """Power iteration on damped losses: score flows from losers to winners, from an item that never lost to all alike. Scores add up to 1."""
     a = e.combine(win_weight, tie_weight, tolerance)
     lost = np.bincount(e.j, a, e.k)
     with np.errstate(all="ignore"):
         share = np.nan_to_num(a / lost[e.j])
 
     def step(p: np.ndarray) -> np.ndarray:
-        total = p.sum()
-        flow = np.bincount(e.j, share * p[e.i], e.k)
-        flow[lost == 0] = total / e.k
-        return damping * flow + (1 - damping) / e.k * total
+        flow = np.bincount(e.i, share * p[e.j], e.k) + p[lost == 0].sum() / e.k
+        return damping * flow + (1 - damping) / e.k * p.sum()
 
     p, n = _power(e.k, step, tolerance, limit)
     norm = np.abs(p).sum()

@@ -56,8 +56,8 @@ def eigen(select: str = "item, round(p[k + 1], 6) AS score") -> str:
 
 
 def pagerank(select: str = "item, round(p[k + 1] / list_sum(p), 6) AS score") -> str:
-    lost = "list_sum(list_transform(range(1, n + 1), lambda z: ma[z][a]))"
-    return _power(f"list_transform(range(1, n + 1), lambda a: list_transform(range(1, n + 1), lambda b: 0.85 * CASE WHEN {lost} = 0 THEN 1.0 / n ELSE ma[b][a] / {lost} END + 0.15 / n))", select)
+    lost = "list_sum(list_transform(range(1, n + 1), lambda z: ma[z][b]))"
+    return _power(f"list_transform(range(1, n + 1), lambda a: list_transform(range(1, n + 1), lambda b: 0.85 * CASE WHEN {lost} = 0 THEN 1.0 / n ELSE ma[a][b] / {lost} END + 0.15 / n))", select)
 
 
 def elo(by: str = "0") -> str:
