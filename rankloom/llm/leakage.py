@@ -122,7 +122,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Full-text index of a sequence of symbols; `sample`: every how many positions one is kept for locating."""
+    """Full-text index of a sequence of symbols that ends with the only 0; `sample`: every how many positions one is kept for locating."""
 
     def __init__(self, s: np.ndarray, symbols: int, sample: int = 8) -> None:
         self.n = len(s)
@@ -160,11 +160,11 @@ class FMIndex:
 
 
 class Items:
-    """The evaluation items: vocabulary, phrases as numbers, and where each phrase stands. Numbers: 0 ends a text, 1 is any other word."""
+    """The evaluation items: vocabulary, phrases as numbers, and where each phrase stands. Numbers: 0 ends a shard, 1 a text, 2 is any other word."""
 
     def __init__(self, items: Sequence[tuple[int, str]]) -> None:
         self.words = {i: [fold(w) for w, _, _ in words_of(t)] for i, t in items if t}
-        self.number = {w: k + 2 for k, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
+        self.number = {w: k + 3 for k, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
         self.places: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, ws in self.words.items():
             ids, m = [self.number[w] for w in ws], min(PHRASE, len(ws))
@@ -205,16 +205,18 @@ def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[in
         for k, (word, _, _) in enumerate(words_of(text) if text else ()):
             c = folded.get(word)
             if c is None:
-                c = folded[word] = number.get(fold(word), 1)
-            if c == 1 and last == 1:
+                c = folded[word] = number.get(fold(word), 2)
+            if c == 2 and last == 2:
                 continue
             symbols.append(c)
             origins.append(k)
             last = c
-        symbols.append(0)
+        symbols.append(1)
         origins.append(-1)
+    symbols.append(0)
+    origins.append(-1)
     s, origin, start = np.array(symbols, np.int64), np.array(origins, np.int64), np.array(starts, np.int64)
-    index = FMIndex(s, len(number) + 2)
+    index = FMIndex(s, len(number) + 3)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
     for m, places in items.places.items():
         keys = list(places)
