@@ -3,8 +3,9 @@
 W[i, j] counts the comparisons i won against j, a tie as half for each. Offence o[i] = sum_j W[i, j] / d[j] and defence
 d[j] = sum_i W[i, j] / o[i] are rescaled in turn (Sinkhorn iterations); the strength of an item is o / d. If a pair's expected wins are
 in the proportion of two strengths, W is a symmetric matrix with rows multiplied by the strengths, and scaling returns them whatever
-the numbers of comparisons: uneven numbers do not bias the ranking. For smoothing, each item also wins and loses `prior` comparisons
-against one virtual opponent, which makes the iteration converge for undefeated, winless and unconnected items.
+the numbers of comparisons: uneven numbers do not bias the ranking. Smoothing keeps that form: each pair that met gets `share` of its
+comparisons as wins for both, so that undefeated and winless items stay finite, and the diagonal a tenth of an item's comparisons, so that the
+iteration converges on any graph. Strengths of items that no chain of comparisons links are not comparable.
 """
 
 from __future__ import annotations
@@ -36,70 +37,77 @@ def valid_comparisons(log: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def win_edges(comparisons: DataFrame) -> DataFrame:
-    """(i, j, w): comparisons i won against j, ties as halves; combined map-side, at most one row a pair and direction."""
+    """(i, j, w, n): of each pair that met, in both directions, the comparisons i won against j, ties as halves, and all; combined map-side."""
     half = comparisons.groupBy("i", "j").agg(F.sum("score").alias("w"), F.count("*").alias("n"))
-    both = half.select(F.inline(F.array(F.struct("i", "j", "w"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("n") - F.col("w")).alias("w")))))
-    return both.groupBy("i", "j").agg(F.sum("w").alias("w")).filter("w > 0")
+    both = half.select(F.inline(F.array(F.struct("i", "j", "w", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("n") - F.col("w")).alias("w"), "n"))))
+    return both.groupBy("i", "j").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
 
 
-def scale_edges(i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int, prior: float, tolerance: float, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Offence and defence of items 0..k-1 and the number of iterations; the virtual opponent is item k."""
-    own = np.arange(k)
-    i, j, w = np.concatenate([i, own, np.full(k, k)]), np.concatenate([j, np.full(k, k), own]), np.concatenate([w, np.full(2 * k, prior)])
-    d, last, step = np.ones(k + 1), np.zeros(k), 0
+def smoothed(edges: DataFrame, share: float) -> DataFrame:
+    """(i, j, w) of the smoothed matrix with its diagonal."""
+    own = edges.groupBy("i").agg((F.sum("n") * F.lit(DIAGONAL)).alias("w")).select("i", F.col("i").alias("j"), "w")
+    return edges.select("i", "j", (F.col("w") + F.lit(share) * F.col("n")).alias("w")).unionByName(own)
+
+
+#: share of an item's comparisons on the diagonal
+DIAGONAL = 0.1
+
+
+def scale_edges(i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int, tolerance: float, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Offence and defence of items 0..k-1 of a smoothed matrix, and the number of iterations; 1 and 1 for an item without entries."""
+    o, d, last, step = np.ones(k), np.ones(k), np.zeros(k), 0
+    known = np.bincount(i, minlength=k) > 0
     while step < limit:
         step += 1
-        o = np.bincount(i, w / d[j], k + 1)
-        d = np.bincount(j, w / o[i], k + 1)
-        now = np.log(o[:k] / d[:k]) - np.log(o[k] / d[k])
+        o = np.where(known, np.bincount(i, w / d[j], k), 1.0)
+        d = np.where(known, np.bincount(j, w / o[i], k), 1.0)
+        now = np.log(o / d)
         if np.abs(now - last).max(initial=0) < tolerance:
             break
         last = now
-    level = np.sqrt(o[k] / d[k])
-    return o[:k] / level, d[:k] * level, step
+    level = np.exp(np.log(o / d)[known].mean() / 2) if known.any() else 1.0
+    return np.where(known, o / level, 1.0), np.where(known, d * level, 1.0), step
 
 
-def strengths(edges: DataFrame, items: DataFrame, prior: float = 0.1, tolerance: float = 1e-9, limit: int = 5000, local_edges: int = 2_000_000) -> DataFrame:
-    """(id, offence, defence, strength): one row for each id of `items`, strength 1 being the virtual opponent's.
+def strengths(edges: DataFrame, items: DataFrame, share: float = 0.01, tolerance: float = 1e-9, limit: int = 5000, local_edges: int = 2_000_000) -> DataFrame:
+    """(id, offence, defence, strength): one row for each id of `items`; the strengths of items with comparisons have geometric mean 1.
 
-    The edges are counted; up to `local_edges` are scaled in one task (16 bytes each and a few vectors), more by joins and
-    group-bys over all of them, with a checkpoint every few iterations. An item without comparisons has strength 1; no items, no rows.
+    The edges are counted; up to `local_edges` are scaled in one task (24 bytes each and a few vectors), more by joins and
+    group-bys over all of them, with a checkpoint an iteration. An item without comparisons has strength 1; no items, no rows.
     """
     edges = cut(edges)
     ids = items.select(F.col("item_id").cast("bigint").alias("id")).filter("id is not null").distinct()
-    if edges.count() <= local_edges:
-        rows = edges.select("i", "j", "w").unionByName(ids.select(F.col("id").alias("i"), F.lit(None).cast("bigint").alias("j"), F.lit(0.0).alias("w"))).withColumn("all", F.lit(1))
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            known = np.sort(pdf.loc[pdf["j"].isna(), "i"].to_numpy(np.int64))
-            e = pdf[pdf["j"].notna()].sort_values(["i", "j"])
-            a, b = np.searchsorted(known, e["i"].to_numpy(np.int64)), np.searchsorted(known, e["j"].to_numpy(np.int64))
-            o, d, _ = scale_edges(a, b, e["w"].to_numpy(), len(known), prior, tolerance, limit)
-            return pd.DataFrame({"id": known, "offence": o, "defence": d, "strength": o / d})
-
-        return rows.groupBy("all").applyInPandas(solve, "id bigint, offence double, defence double, strength double")
-    return scale_distributed(edges, ids, prior, tolerance, limit)
-
-
-def scale_distributed(edges: DataFrame, ids: DataFrame, prior: float, tolerance: float, limit: int, every: int = 5) -> DataFrame:
-    """The same iteration with the edges left in place: each half step is a join and a map-side combined group-by."""
-    state = cut(ids.withColumns({"o": F.lit(1.0), "d": F.lit(1.0), "s": F.lit(0.0)}))
-    ov = dv = 1.0
-    for step in range(1, limit + 1):
-        own = edges.join(state.select(F.col("id").alias("j"), "d"), "j").groupBy("i").agg(F.sum(F.col("w") / F.col("d")).alias("part"))
-        out = state.select("id", "d", "s").join(own.withColumnRenamed("i", "id"), "id", "left").select("id", "d", "s", (F.coalesce("part", F.lit(0.0)) + F.lit(prior / dv)).alias("o"))
-        ov = prior * out.agg(F.sum(1 / F.col("d"))).first()[0]
-        met = edges.join(out.select(F.col("id").alias("i"), "o"), "i").groupBy("j").agg(F.sum(F.col("w") / F.col("o")).alias("part"))
-        new = out.join(met.withColumnRenamed("j", "id"), "id", "left").select("id", "o", "s", (F.coalesce("part", F.lit(0.0)) + F.lit(prior / ov)).alias("d"))
-        new = cut(new)
-        dv = prior * new.agg(F.sum(1 / F.col("o"))).first()[0]
-        moved = new.withColumn("t", F.ln(F.col("o") / F.col("d")) - F.lit(float(np.log(ov / dv))))
-        change = moved.agg(F.max(F.abs(F.col("t") - F.col("s")))).first()[0] or 0.0
-        state = moved.select("id", "o", "d", F.col("t").alias("s"))
-        if change < tolerance:
+    matrix = smoothed(edges, share)
+    if edges.count() > local_edges:
+        return scale_distributed(cut(matrix), ids, tolerance, limit)
+    rows = matrix.unionByName(ids.select(F.col("id").alias("i"), F.lit(None).cast("bigint").alias("j"), F.lit(0.0).alias("w"))).withColumn("all", F.lit(1))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = np.sort(pdf.loc[pdf["j"].isna(), "i"].to_numpy(np.int64))
+        e = pdf[pdf["j"].notna()].sort_values(["i", "j"])
+        a, b = np.searchsorted(known, e["i"].to_numpy(np.int64)), np.searchsorted(known, e["j"].to_numpy(np.int64))
+        o, d, _ = scale_edges(a, b, e["w"].to_numpy(), len(known), tolerance, limit)
+        return pd.DataFrame({"id": known, "offence": o, "defence": d, "strength": o / d})
+
+    return rows.groupBy("all").applyInPandas(solve, "id bigint, offence double, defence double, strength double")
+
+
+def scale_distributed(matrix: DataFrame, ids: DataFrame, tolerance: float, limit: int) -> DataFrame:
+    """The same iteration with the matrix left in place: each half step is a join and a map-side combined group-by."""
+    one = F.lit(1.0)
+    state = cut(ids.withColumns({"o": one, "d": one, "s": F.lit(0.0)}))
+    for _ in range(limit):
+        own = matrix.join(state.select(F.col("id").alias("j"), "d"), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") / F.col("d")).alias("o"))
+        out = state.select("id", "s").join(own, "id", "left")
+        met = matrix.join(out.select(F.col("id").alias("i"), "o"), "i").groupBy(F.col("j").alias("id")).agg(F.sum(F.col("w") / F.col("o")).alias("d"))
+        new = out.join(met, "id", "left").select("id", F.coalesce("o", one).alias("o"), F.coalesce("d", one).alias("d"), "s", F.col("o").isNotNull().alias("known"))
+        state = cut(new.withColumn("t", F.ln(F.col("o") / F.col("d"))))
+        change, mean = state.agg(F.max(F.abs(F.col("t") - F.col("s"))), F.avg(F.when(F.col("known"), F.col("t")))).first()
+        state = state.select("id", "o", "d", F.col("t").alias("s"), "known")
+        if (change or 0.0) < tolerance:
             break
-    level = float(np.sqrt(ov / dv))
-    return state.select("id", (F.col("o") / level).alias("offence"), (F.col("d") * level).alias("defence"), (F.col("o") / F.col("d") / level**2).alias("strength"))
+    level = F.when(F.col("known"), F.lit(float(np.exp((mean or 0.0) / 2)))).otherwise(one)
+    return state.select("id", (F.col("o") / level).alias("offence"), (F.col("d") * level).alias("defence"), (F.col("o") / F.col("d") / level / level).alias("strength"))
 
 
 def ranking(log: DataFrame, items: DataFrame, **options: float) -> DataFrame:

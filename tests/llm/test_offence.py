@@ -10,9 +10,11 @@ def test_recovers_strengths_whatever_the_numbers_of_comparisons():
     n = rng.integers(1, 400, (12, 12))
     n = np.triu(n, 1) + np.triu(n, 1).T
     w = n * s[:, None] / (s[:, None] + s[None, :])
+    w += np.diag(n.sum(1) * O.DIAGONAL)
     i, j = np.nonzero(w)
-    o, d, steps = O.scale_edges(i, j, w[i, j], 12, 1e-9, 1e-12, 20_000)
+    o, d, steps = O.scale_edges(i, j, w[i, j], 12, 1e-12, 5000)
     r = o / d
+    assert steps < 500
     assert r / r[0] == pytest.approx(s / s[0], rel=1e-3)
 
 
@@ -35,7 +37,7 @@ def test_ranking_local_and_distributed_agree(spark):
     a = {r["item"]: r["strength"] for r in O.ranking(log, items).collect()}
     b = {r["item"]: r["strength"] for r in O.ranking(log, items, local_edges=0, tolerance=1e-3, limit=12).collect()}
     assert b == pytest.approx(a, rel=0.05)
-    assert a["never"] == pytest.approx(1) and a["c"] > a["a"] > a["B"]
+    assert a["never"] == 1 and a["c"] > a["a"] > a["B"]
 
 
 def test_empty_tables(spark):
