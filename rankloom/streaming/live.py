@@ -26,9 +26,9 @@ def windowed_counting(stream: DataFrame, event_time: str, window: str = "1 day",
     timed = stream.withWatermark(event_time, late)
     if once:
         timed = timed.dropDuplicatesWithinWatermark([once])
-    timed = timed.withColumn("__w", F.window(event_time, window).getField("start"))
-    log = prepare(timed, by=("__w",))
-    return ranking.counting(log).withColumnRenamed("__w", "start")
+    # grouped by the window itself, which carries the watermark, so that append mode can let go of windows that are over
+    log = prepare(timed.withColumn("__w", F.window(event_time, window)), by=("__w",))
+    return ranking.counting(log).select(F.col("__w.start").alias("start"), "item", "score")
 
 
 def live_elo(stream: DataFrame, by: str, order: str, initial: float = 1000.0, base: float = 10.0, scale: float = 400.0, k: float = 4.0) -> DataFrame:
