@@ -44,6 +44,8 @@ _ENDED = re.compile(r"[.!?…][\"'»”“)\]]*\s*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _LINK = re.compile(r"://|^www\.|[^\W_]\.[^\W\d_]{2,}(?:[/?#]|$)|^#\w|[<>\[\]()|=]|^\W*\d[\d.,:]*\W*$|:$", re.I)
+#: what any token that one of the two patterns above and below finds must have; most sentences have none of it
+_MAYBE = re.compile(r"[:#<>\[\]()|=\d]|[^\W_]\.[^\W_]|www", re.I)
 _ADDRESS = re.compile(r"://|^www\.|[^\W_]\.[^\W\d_]{2,}(?:[/?#]|$)|^#\w", re.I)
 BLOCK, CHARS = 60, 400  #: words and characters of a block at most; a longer word is a block of its own
 
@@ -58,24 +60,28 @@ def language(words: list[str], declared: str | None) -> str:
     return best
 
 
-def is_sentence(tokens: list[str], lang: str) -> bool:
-    """Whether tokens make a sentence or a part of one: function words and determiners, few links or numbers, content words mostly different."""
+def count_links(tokens: list[str]) -> int:
+    """How many tokens are links, tags, numbers or labels."""
+    return sum(bool(_LINK.search(t)) for t in tokens) if _MAYBE.search(" ".join(tokens)) else 0
+
+
+def is_sentence(tokens: list[str], words: list[str], lang: str) -> bool:
+    """Whether tokens (and their words, in lower case) make a sentence or a part of one: function words and determiners, few links or numbers, content words mostly different."""
     n = len(tokens)
     if n < 3:
         return False
-    links = sum(bool(_LINK.search(t)) for t in tokens)
-    words = [w.lower() for t in tokens for w in _LETTERS.findall(t)]
-    if not words or links > 0.34 * n:
+    if not words:
         return False
     known, determiners = _WORDS.get(lang, _ALL), _DETERMINERS.get(lang, _ALL)
-    function, det = sum(w in known for w in words), sum(w in determiners for w in words)
     content = [w for w in words if w not in known]
-    return function >= 0.2 * len(words) and det >= 0.08 * len(words) and len(set(content)) >= 0.6 * len(content)
+    if len(words) - len(content) < 0.2 * len(words) or len(set(content)) < 0.6 * len(content) or sum(w in determiners for w in words) < 0.08 * len(words):
+        return False
+    return count_links(tokens) <= 0.34 * n
 
 
 def is_listed(tokens: list[str], lang: str) -> bool:
     """Whether tokens that are no sentence are a list: a third of them links, tags or numbers, hardly any function words or determiners, or content words repeated."""
-    n, links = len(tokens), sum(bool(_LINK.search(t)) for t in tokens)
+    n, links = len(tokens), count_links(tokens)
     words = [w.lower() for t in tokens for w in _LETTERS.findall(t)]
     known, determiners = _WORDS.get(lang, _ALL), _DETERMINERS.get(lang, _ALL)
     content = [w for w in words if w not in known]
@@ -114,7 +120,7 @@ def segments(text: str) -> Iterator[list[str]]:
             tokens = part.split()
             if not tokens:
                 continue
-            links = any(map(_ADDRESS.search, tokens))
+            links = bool(_MAYBE.search(part)) and any(map(_ADDRESS.search, tokens))
             if held and (k or links or linked or _ENDED.search(held[-1])):
                 yield from pieces()
             held.extend(tokens)
@@ -142,8 +148,8 @@ def blocks(text: str, declared: str | None) -> list[tuple[str, int, int, int, fl
         held.clear()
 
     for tokens, words in parts:
-        new = (is_sentence(tokens, main), main)
-        if not new[0] and (own := language(words, main)) != main and is_sentence(tokens, own):
+        new = (is_sentence(tokens, words, main), main)
+        if not new[0] and (own := language(words, main)) != main and is_sentence(tokens, words, own):
             new = (True, own)
         for token in tokens:
             if held and (new != kind or len(held) >= BLOCK or size + len(token) >= CHARS):
