@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientRatingsError, MissingColumnError, UnknownDistanceError
+from ..session import cut
 
 Distance = Callable[[Column, Column], Column]
 
@@ -114,10 +115,11 @@ def alpha(rated: DataFrame, distance: str | Distance | DataFrame = "nominal", ch
 
     With `check`, ratings without a pairable unit raise InsufficientRatingsError; without it they give an alpha of 1 from nothing.
     """
-    if check:
-        require_pairable(rated)
-    counts = unit_counts(rated)
-    co = coincidence(counts)
+    # the counts of values in units are read for the check, the coincidences and the values, so the ratings are not read three times
+    counts = cut(unit_counts(rated))
+    if check and not counts.take(1):
+        raise InsufficientRatingsError("no unit has at least two ratings")
+    co = cut(coincidence(counts))
     pairs = expected_pairs(marginals(co, factorize(counts)), distance)
     sums = pairs.join(co, ["c", "k"], "left").agg(F.coalesce(F.sum(F.coalesce("o", F.lit(0.0)) * F.col("delta")), F.lit(0.0)).alias("observed"), F.coalesce(F.sum(F.col("e") * F.col("delta")), F.lit(0.0)).alias("expected"))
     zero = F.when(F.col("observed") == 0, 1.0).otherwise(0.0)
