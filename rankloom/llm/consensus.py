@@ -18,25 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.notation import code_of
 from ..session import cut
 
-# fixed values: other notations of the digits 0 to 9, each string in order
-_DIGITS = ("０１２３４５６７８９", "٠١٢٣٤٥٦٧٨٩", "⓪①②③④⑤⑥⑦⑧⑨", "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉")
-_FROM = "".join(_DIGITS) + "（）． 　"
-_TO = "0123456789" * len(_DIGITS) + "().  "
-
-
-def code_of(column: Column | str, classes: int = 5) -> Column:
-    """The whole number from 1 to `classes` (at most 9) that a text is, in whatever notation (`3`, ` 03 `, `3.0`, `3.`, `(3)`, full-width), else null."""
-    plain = F.translate(column, _FROM, _TO)
-    number = rf"\+?0*([1-{classes}])(?:[.,]0*)?"
-    whole = rf"^\s*(?:{number}|\(\s*{number}\s*\)|\[\s*{number}\s*\])\s*$"
-    digit = F.coalesce(*(F.nullif(F.regexp_extract(plain, whole, k), F.lit("")) for k in (1, 2, 3)))
-    return digit.try_cast("tinyint")
-
 
 def latest_sheets(codings: DataFrame, units: Sequence[str], sheet: str = "sheet_id", rater: str = "rater", version: Sequence[str] = ("coded_at", "received_at")) -> DataFrame:
     """(sheet, rater, codes): of each rater and sheet the row with the greatest `version`, codes as an array with null for what is no code.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.notation import code_of
 from ..operators.log import Log, prepare, winner_code
 from ..operators.reliability import ratings
 from ..operators.skew import label_key
@@ -42,12 +43,12 @@ def food_log(spark: SparkSession, sf_dir: str) -> Log:
 
 
 def coding_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain codes 1 to 5 of the latest sheet of each rater; a unit is a cell of a sheet."""
+    """Codes 1 to 5 in any notation, as digits, of the latest sheet of each rater; a unit is a cell of a sheet. The SQL reads plain digits only."""
     w = Window.partitionBy("sheet_id", "rater").orderBy(F.desc("coded_at"), F.desc("received_at"))
     last = table(spark, sf_dir, "codings").withColumn("n", F.row_number().over(w)).filter("n = 1")
     cells = [f"c{k}" for k in range(12)]
-    long = last.unpivot(["sheet_id", "rater"], cells, "cell", "value").filter(F.col("value").rlike("^[1-5]$"))
-    return ratings(long.withColumn("unit", F.concat_ws(":", "sheet_id", "cell")))
+    long = last.unpivot(["sheet_id", "rater"], cells, "cell", "value")
+    return ratings(long.select(F.concat_ws(":", "sheet_id", "cell").alias("unit"), "rater", code_of("value").alias("value")))
 
 
 def order_ratings(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
