@@ -24,6 +24,7 @@ from . import reliability as rel
 from .log import DRAW, LEFT, Log, cells, item_index
 
 MAX_CELLS = 1_000_000
+MAX_COUNTED = 200
 
 
 def _kernel(method: str, win_weight: float, tie_weight: float, options: dict) -> Callable[[kernels.Edges], np.ndarray]:
@@ -232,7 +233,8 @@ def alpha_distribution(rated: DataFrame, distance: str | rel.Distance = "nominal
     """(resample, alpha) and the point estimate.
 
     A resample starts at 1; each unit of m ratings draws m (m - 1) / 2 of the pooled pair errors with replacement and takes each / (m - 1) off;
-    a second draw that hits the first one's pair is drawn once more; the result is at least -1. Draws are made `block` units at a time.
+    a second draw that hits the first one's pair is drawn once more; the result is at least -1. Random draws from up to `MAX_COUNTED` pairs of
+    values are counts, of the same distribution, whose cost does not depend on the units; others are made `block` units at a time.
     """
     if n_resamples <= 0:
         raise ValueError("n_resamples must be positive")
@@ -241,7 +243,25 @@ def alpha_distribution(rated: DataFrame, distance: str | rel.Distance = "nominal
     total = int(ends[-1])
     groups = list(units.itertuples(index=False, name=None))
 
+    def counted(resample: int) -> float:
+        rng, left, n = np.random.default_rng([seed, resample]), 1.0, errors["n"].to_numpy(dtype=float)
+        share, apart = n / total, np.outer(n, n) - np.diag(n)
+        for m, of_m in groups:
+            each, hit = m * (m - 1) // 2, 0
+            counts = np.zeros(len(n), np.int64)
+            if each > 1:
+                # a second draw that hit the first one's pair is drawn once more, so both are free; the others are two different pairs
+                hit = int(rng.binomial(of_m, 1 / total))
+                if of_m > hit:
+                    two = rng.multinomial(of_m - hit, (apart / apart.sum()).ravel()).reshape(apart.shape)
+                    counts += two.sum(0) + two.sum(1)
+            counts += rng.multinomial(of_m * (each - 2) + 2 * hit if each > 1 else of_m, share)
+            left -= counts @ error / (m - 1)
+        return max(left, -1.0)
+
     def one(resample: int) -> float:
+        if draws != "hash" and len(error) <= MAX_COUNTED:
+            return counted(resample)
         rng, left = np.random.default_rng([seed, resample]), 1.0
         for m, n in groups:
             each = m * (m - 1) // 2

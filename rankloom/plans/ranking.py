@@ -331,12 +331,12 @@ def alpha_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alpha_report(s: SparkSession, d: str) -> DataFrame:
-    return report.alpha_report(resampling.alpha_bootstrap(_rated(s, d), n_resamples=200, seed=1))
+    return report.alpha_report(resampling.alpha_bootstrap(_rated(s, d), seed=1))
 
 
 @query()
 def alpha_histogram(s: SparkSession, d: str) -> DataFrame:
-    return report.histogram(resampling.alpha_distribution(_rated(s, d), n_resamples=400, seed=1)[0], "alpha")
+    return report.histogram(resampling.alpha_distribution(_rated(s, d), seed=1)[0], "alpha")
 
 
 _BOOT = f"""{E}, {sql.BY_ORDER},
@@ -380,12 +380,12 @@ def bootstrap_median_order(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_bt_ci(s: SparkSession, d: str) -> DataFrame:
-    return resampling.bootstrap(views.events_log(s, d), "bradley_terry", n_resamples=200, kind="percentile")
+    return resampling.bootstrap(views.events_log(s, d), "bradley_terry", kind="percentile")
 
 
 @query()
 def bootstrap_bca(s: SparkSession, d: str) -> DataFrame:
-    return resampling.bootstrap(views.events_log(s, d), "bradley_terry", n_resamples=200)
+    return resampling.bootstrap(views.events_log(s, d), "bradley_terry")
 
 
 @query()
