@@ -27,3 +27,7 @@ class ScoreShapeError(RankloomError, ValueError):
 
 class TooLargeError(RankloomError, ValueError):
     """A bounded structure would exceed its documented bound."""
+
+
+class NotConvergedError(RankloomError, ArithmeticError):
+    """An iteration reached its limit before its tolerance."""

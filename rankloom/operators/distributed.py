@@ -2,7 +2,7 @@
 
 Only two or three sums a step come to the driver. The state (a row an item) is written to the checkpoint folder every step, so lineage
 stays short and a lost executor costs one step. Bradley-Terry updates all items at once here (Jacobi), so it takes more iterations than in
-`ranking`; it ends at the same strengths.
+`ranking`; if it converges within its limit it ends at the same strengths, else it raises.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NotConvergedError
 from ..session import cut
 from .log import Log, edges, item_index
 
@@ -41,9 +42,9 @@ def _on_edges(e: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def bradley_terry(log: Log, index: DataFrame | None = None, win_weight: float = 1.0, tie_weight: float = 0.5, tolerance: float = 1e-6, limit: int = 200) -> DataFrame:
-    """(item, score, iterations)."""
+    """(item, score, iterations); NotConvergedError if `limit` steps do not reach `tolerance`, as with an undefeated or winless item."""
     e, (state, n) = both_ways(log, win_weight, tie_weight), _start(log, index, 1.0)
-    step = 0
+    step, near = 0, not n
     while n and step < limit:
         step += 1
         total = F.col("pi") + F.col("pj")
@@ -55,6 +56,8 @@ def bradley_terry(log: Log, index: DataFrame | None = None, win_weight: float =
         state = new
         if near:
             break
+    if not near:
+        raise NotConvergedError(f"Bradley-Terry did not reach {tolerance} in {limit} steps")
     return state.select("item", F.col("p").alias("score"), F.lit(step).alias("iterations"))
 
 

@@ -1,8 +1,18 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.errors import TooLargeError
+from rankloom.errors import NotConvergedError, TooLargeError
 from rankloom.functions.hashing import hash_draw, hash_number
+from rankloom.operators import distributed
+
+from test_ranking import FOOD, log_of
+
+
+def test_distributed_bradley_terry_does_not_stop_silently(spark):
+    with pytest.raises(NotConvergedError):
+        distributed.bradley_terry(log_of(spark, FOOD), limit=2)
+    assert distributed.bradley_terry(log_of(spark, FOOD), tolerance=1e-2).first()["iterations"] > 2
+
 
 def test_hash_draws_reach_every_row_of_a_large_table(spark):
     n = 1 << 40
