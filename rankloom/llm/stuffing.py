@@ -1,13 +1,13 @@
-"""Keyword-stuffed and link-list pages: block-wise compression, confirmed by sentences.
-
-A text is cut into blocks. Of each block two compression ratios are taken: of its words, which is extreme where keywords are repeated, and of
-its layout (every run of letters one sign, function words another, digits a third, punctuation as it is), which is extreme where short tags or
-products are listed although each is different. Both are normalised by what blocks made of sentences have in the whole corpus, by
-language and length (median and median deviation). A block far above is redundant. Lists of long links compress like sentences do, so a block
-also counts as redundant if it is listed: a third of its tokens are links, tags or numbers, hardly any word is a function word or a
-determiner, or its content words repeat each other.
-A redundant block is spam if its density of sentences is low as well, where punctuation only counts as a sentence's if the words
-before it make one: function words and determiners among different content words.
+"""Keyword-stuffed and link-list pages: block-wise compression, confirmed by the density of sentences.
+
+A text is cut into blocks of neighbouring lines. Two compression ratios are taken of each: of its words, which is extreme where keywords are
+repeated, and of its layout, which is extreme where links, tags, products or menus are listed although no two are the same. In the layout a
+link is one sign, a word of four letters or more another, a number or single letter a third; short words and punctuation stay as they are,
+and blanks go. Prose is irregular there, in any language that writes short words between long ones; lists are not.
+
+Both ratios are normalised by what blocks made of sentences have in the whole corpus, by language and length. A block is redundant if its two
+deviations above those medians add up to an extreme. A redundant block is spam if its density of sentence punctuation is low as well. A mark counts
+only if what stands before it has short words among different long ones, so that marks strewn among repeated keywords do not count.
 """
 
 from __future__ import annotations
@@ -18,198 +18,158 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-# fixed values: function words of four languages; the first line of each are the determiners and pronouns
-_FUNCTION = {
-    "en": ("the a an this that these those my your his her its our their it he she we they you i who which each every some any no",
-           "of in on at to for with from by near behind under along after before during because when while if and or but not as than so is are was were be been has have had do does did will would can could may must there here also very more most only then once about into over without"),
-    "de": ("der die das den dem des ein eine einen einem einer eines dieser diese dieses mein dein sein ihr unser kein keine er sie es wir man ich du jeder jede jedes",
-           "und oder aber nicht in im am an auf aus bei beim mit nach von vom vor zu zum zur über unter hinter neben für durch gegen ohne um weil wenn als wie dass ob ist sind war waren wird werden hat haben kann können auch nur sehr mehr noch schon dann dort hier so"),
-    "fr": ("le la les l un une des du ce cet cette ces mon ma mes ton son sa ses notre nos votre vos leur leurs il elle ils elles on nous vous je tu chaque quelques qui que",
-           "de d et ou mais ne pas dans en au aux à sur sous avec pour par près derrière après avant pendant parce quand si comme est sont était être a ont avait peut sans entre plus très aussi où dont y se s n c qu j"),
-    "es": ("el la los las lo un una unos unas este esta estos estas ese esa mi tu su sus nuestro nuestra él ella ellos ellas nosotros cada algunos quien que se",
-           "de del y o u e pero no en a al con por para sin sobre bajo tras cerca detrás después antes durante porque cuando si como es son era fue ser está están ha han hay puede más muy también ya donde entre desde hasta ni"),
-}
-_DETERMINERS = {lang: frozenset(a.split()) for lang, (a, _) in _FUNCTION.items()}
-_WORDS = {lang: frozenset((a + " " + b).split()) for lang, (a, b) in _FUNCTION.items()}
-_ALL = frozenset().union(*_WORDS.values())
-
-_TAG = re.compile(r"""<a\b[^<>]*?href\s*=\s*["']?([^"'\s>]*)[^<>]*>|<[^<>]{0,300}>""", re.I)
-_SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”“)\]]*\s+")
-_ENDED = re.compile(r"[.!?…][\"'»”“)\]]*\s*$")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
-_LINK = re.compile(r"://|^www\.|[^\W_]\.[^\W\d_]{2,}(?:[/?#]|$)|^#\w|[<>\[\]()|=]|^\W*\d[\d.,:]*\W*$|:$", re.I)
-#: what any token that one of the two patterns above and below finds must have; most sentences have none of it
-_MAYBE = re.compile(r"[:#<>\[\]()|=\d]|[^\W_]\.[^\W_]|www", re.I)
-_ADDRESS = re.compile(r"://|^www\.|[^\W_]\.[^\W\d_]{2,}(?:[/?#]|$)|^#\w", re.I)
-BLOCK, CHARS = 60, 400  #: words and characters of a block at most; a longer word is a block of its own
-
-
-def language(words: list[str], declared: str | None) -> str:
-    """The language whose function words a text has most of; without any, the declared one, else xx."""
-    best, most = (declared or "xx").strip().lower()[:2] or "xx", 0
-    for lang, known in _WORDS.items():
-        n = sum(w in known for w in words)
-        if n > most:
-            best, most = lang, n
-    return best
-
-
-def count_links(tokens: list[str]) -> int:
-    """How many tokens are links, tags, numbers or labels."""
-    return sum(bool(_LINK.search(t)) for t in tokens) if _MAYBE.search(" ".join(tokens)) else 0
-
-
-def is_sentence(tokens: list[str], words: list[str], lang: str) -> bool:
-    """Whether tokens (and their words, in lower case) make a sentence or a part of one: function words and determiners, few links or numbers, content words mostly different."""
-    n = len(tokens)
-    if n < 3:
-        return False
-    if not words:
-        return False
-    known, determiners = _WORDS.get(lang, _ALL), _DETERMINERS.get(lang, _ALL)
-    content = [w for w in words if w not in known]
-    if len(words) - len(content) < 0.2 * len(words) or len(set(content)) < 0.6 * len(content) or sum(w in determiners for w in words) < 0.08 * len(words):
-        return False
-    return count_links(tokens) <= 0.34 * n
-
-
-def is_listed(tokens: list[str], lang: str) -> bool:
-    """Whether tokens that are no sentence are a list: a third of them links, tags or numbers, hardly any function words or determiners, or content words repeated."""
-    n, links = len(tokens), count_links(tokens)
-    words = [w.lower() for t in tokens for w in _LETTERS.findall(t)]
-    known, determiners = _WORDS.get(lang, _ALL), _DETERMINERS.get(lang, _ALL)
-    content = [w for w in words if w not in known]
-    bare = len(words) - len(content) < 0.1 * len(words) or sum(w in determiners for w in words) < 0.08 * len(words)
-    return 3 * links >= n or (n > 3 and (bare or len(set(content)) < 0.6 * len(content)))
-
-
-def layout(block: str, lang: str) -> str:
-    """The skeleton of a block: w for a word, f for a function word, 0 for a number, punctuation as it is."""
-    known = _WORDS.get(lang, _ALL)
-    return _DIGITS.sub("0", _LETTERS.sub(lambda m: "f" if m[0].lower() in known else "w", " ".join(block.split(" "))))
-
-
-def ratio(text: str) -> float:
-    """How many times smaller a text gets; the compressor's own frame does not count."""
-    data = text.encode()
-    return len(data) / max(1, len(zlib.compress(data, 6)) - 8) if data else 1.0
-
-
-def segments(text: str) -> Iterator[list[str]]:
-    """Tokens of the sentences and lines of a text, long ones in pieces of at most BLOCK / 2 words.
-
-    Lines are read on into the next unless they end a sentence or one of the two has a link, so that wrapped sentences stay whole.
-    """
-    text = _TAG.sub(lambda m: f" {m[1]} " if m[1] else "\n", text)
-    held: list[str] = []
-    linked = False
-
-    def pieces() -> Iterator[list[str]]:
-        for at in range(0, len(held), BLOCK // 2):
-            yield held[at : at + BLOCK // 2]
-        held.clear()
-
-    for line in text.split("\n"):
-        for k, part in enumerate(_SENTENCE_END.split(line)):
-            tokens = part.split()
-            if not tokens:
-                continue
-            links = bool(_MAYBE.search(part)) and any(map(_ADDRESS.search, tokens))
-            if held and (k or links or linked or _ENDED.search(held[-1])):
-                yield from pieces()
-            held.extend(tokens)
-            linked = links
-    yield from pieces()
-
-
-def blocks(text: str, declared: str | None) -> list[tuple[str, int, int, int, float, float, bool]]:
-    """(language, characters, words, words in sentences, ratio of the words, ratio of the layout, whether it is listed) of each block.
-
-    A block is a run of segments that are all sentences of one language or all none, of at most BLOCK words and CHARS characters.
-    A segment is read in the text's language, or in its own if it is a sentence there. Tokens without letters or digits are no words.
-    """
-    parts = [(tokens, [w.lower() for t in tokens for w in _LETTERS.findall(t)]) for tokens in segments(text)]
-    main = language([w for _, words in parts for w in words], declared)
-    out: list[tuple[str, int, int, int, float, float, bool]] = []
-    held: list[str] = []
-    kind, size = (False, main), 0
-
-    def close() -> None:
-        words = sum(any(ch.isalnum() for ch in t) for t in held)
-        if words:
-            block, (sentence, lang) = " ".join(held), kind
-            out.append((lang, len(block), words, words if sentence else 0, ratio(block.lower()), ratio(layout(block, lang)), not sentence and is_listed(held, lang)))
-        held.clear()
-
-    for tokens, words in parts:
-        new = (is_sentence(tokens, words, main), main)
-        if not new[0] and (own := language(words, main)) != main and is_sentence(tokens, words, own):
-            new = (True, own)
-        for token in tokens:
-            if held and (new != kind or len(held) >= BLOCK or size + len(token) >= CHARS):
-                close()
-                size = 0
-            kind = new
-            held.append(token)
-            size += len(token) + 1
-    close()
+#: characters after which a block ends at the next line (before `MOST`) or blank; a text's last block has up to `MOST`
+LEAST, MOST = 500, 1000
+#: sum of the two deviations that is extreme; sentences a character below which there are few
+EXTREME, DENSITY = 2.5, 1 / 170
+#: blocks of sentences that a language needs at a length to be its own norm; size classes are powers of `GROWTH`
+ENOUGH, GROWTH = 30, 1.25
+
+_NUMBER = re.compile(r"\d[\d.,]*|\b[^\W\d_]\b")
+_LINK = re.compile(r".*(?:[/=@#]|\.(?=\w)).*", re.S)
+_LONG = re.compile(r"[^\W\d_]{4,}")
+_END = re.compile(r"[.!?…。！？।؟][\"'»”“)\]]*$")
+_AROUND = ".,;:!?…\"'»«”“()[]"
+
+
+class Tokens(dict):
+    """Of a blank-free token: (its layout, whether it is a word, itself if it is a long word). Kept for the next time, up to `most` of them."""
+
+    def __init__(self, most: int = 200_000) -> None:
+        self.most = most
+
+    def __missing__(self, token: str) -> tuple[str, bool, str]:
+        if len(self) >= self.most:
+            self.clear()
+        plain = _NUMBER.sub("0", token)
+        bare = token.strip(_AROUND)
+        told = ("L" if _LINK.fullmatch(plain) else _LONG.sub("w", plain), any(map(str.isalnum, token)), bare if len(bare) > 3 and bare.isalpha() else "")
+        if len(token) <= 40:
+            self[token] = told
+        return told
+
+
+def cut_blocks(text: str) -> Iterator[str]:
+    """A text in blocks: each ends at the first line end after LEAST characters, or blank if no line ends before MOST, or there if there is no blank either."""
+    at, n = 0, len(text)
+    while n - at > MOST:
+        stop = text.find("\n", at + LEAST, at + MOST)
+        if stop < 0:
+            stop = text.find(" ", at + LEAST, at + MOST)
+        stop = stop if stop >= 0 else at + MOST
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
+def packed(text: str) -> int:
+    """Bytes of a text without the frame of the compressor."""
+    c = zlib.compressobj(6, zlib.DEFLATED, -12, 5)
+    return len(c.compress(text.encode("utf-8", "replace"))) + len(c.flush())
+
+
+def sentences(tokens: list[str], told: list[tuple[str, bool, str]]) -> int:
+    """Marks that end a sentence: three words or more, a quarter of them short, and the long ones different but for one in seven."""
+    n, last = 0, 0
+    for at, token in enumerate(tokens):
+        if token[-1].isalnum() or not _END.search(token):
+            continue
+        long = [t[2] for t in told[last : at + 1] if t[2]]
+        words = sum([t[1] for t in told[last : at + 1]])
+        n += words >= 3 and words - len(long) >= 0.25 * words and len({*long}) >= 0.85 * len(long)
+        last = at + 1
+    return n
+
+
+def blocks(text: str, known: Tokens | None = None) -> list[tuple[int, ...]]:
+    """(characters, words, sentences, bytes of the words packed, bytes of the layout packed) of each block with a word. Tokens without letters or digits are no words."""
+    known, out = Tokens() if known is None else known, []
+    text = text.lower()
+    if "<" in text:
+        text = text.replace("<", " <").replace(">", "> ")
+    for block in cut_blocks(text):
+        tokens = block.split()
+        told = [known[t] for t in tokens]
+        if words := sum([t[1] for t in told]):
+            out.append((len(block), words, sentences(tokens, told), packed(block), packed("".join([t[0] for t in told]))))
     return out
 
 
 def measure(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """A row for each block (key, language, size, words, sentence_words, words_ratio, layout_ratio, listed); null and empty texts have none.
+    """(key, language, size, n, words, sentences, words_ratio, layout_ratio, words_step, layout_step): a row for each block; null and empty texts have none.
 
-    `size` is the size class, a power of 1.5 of the characters.
+    The ratios are logarithms of characters by packed bytes; a step is what two bytes more would change. `language` is the declared one, two letters, else
+    xx; `size` the size class. So there are at most 677 languages x 32 sizes, whatever the corpus.
     """
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens()
         for batch in batches:
-            rows = []
-            for at, (value, declared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                rows += [(at, *b) for b in (blocks(value, declared) if value else ())]
-            c = list(zip(*rows)) if rows else [()] * 8
-            size = [int(math.log(max(n, 1), 1.5)) for n in c[2]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.string()), pa.array(size, pa.int32()), *(pa.array(x, pa.int64()) for x in c[3:5]), *(pa.array(x, pa.float64()) for x in c[5:7]), pa.array(c[7], pa.bool_())],
-                ["key", "language", "size", "words", "sentence_words", "words_ratio", "layout_ratio", "listed"],
-            )
+            rows = [(at, *b) for at, value in enumerate(batch.column(1).to_pylist()) if value for b in blocks(value, known)]
+            at, *counts = zip(*rows) if rows else [()] * 6
+            rows_of = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_of), batch.column(2).take(rows_of), *(pa.array(c, pa.int32()) for c in counts)], ["key", "language", "n", "words", "sentences", "a", "b"])
+
+    declared = F.lower(F.substring(F.btrim(F.col(lang).cast("string")), 1, 2))
+    source = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.when(declared.rlike("^[a-z]{2}$"), declared).otherwise("xx").alias("language"))
+    counted = source.mapInArrow(run, f"key {kind}, language string, n int, words int, sentences int, a int, b int")
+    ratio = lambda c: F.ln(F.col("n") / F.col(c))
+    return counted.select("key", "language", F.floor(F.ln("n") / math.log(GROWTH)).cast("int").alias("size"), "n", "words", "sentences", ratio("a").alias("words_ratio"), ratio("b").alias("layout_ratio"), (2 / F.col("a")).alias("words_step"), (2 / F.col("b")).alias("layout_step"))
+
 
-    source = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    return source.mapInArrow(run, f"key {kind}, language string, size int, words bigint, sentence_words bigint, words_ratio double, layout_ratio double, listed boolean")
+def has_sentences(density: float) -> Column:
+    return F.col("sentences") >= F.lit(density) * F.col("n")
 
 
-def norms(measured: DataFrame) -> DataFrame:
-    """Median (ma, mb) and median deviation (da, db) of both log ratios by language and size class, over the sentence blocks of all documents.
+def norms(measured: DataFrame, by: list[str], density: float, prefix: str) -> DataFrame:
+    """(by..., n, median and deviation of both ratios) of the blocks made of sentences.
 
-    A block is bounded, so there are at most some twenty size classes a language.
+    The deviation is that of the lower half, so that lists among the sentences do not widen it. Quantiles are combined map-side.
     """
-    by = ["language", "size"]
-    logs = measured.filter("sentence_words > 0").select(*by, F.ln("words_ratio").alias("a"), F.ln("layout_ratio").alias("b"))
-    mid = logs.groupBy(*by).agg(F.percentile_approx("a", 0.5, 1000).alias("ma"), F.percentile_approx("b", 0.5, 1000).alias("mb"))
-    return logs.join(mid, by).groupBy(*by, "ma", "mb").agg(F.percentile_approx(F.abs(F.col("a") - F.col("ma")), 0.5, 1000).alias("da"), F.percentile_approx(F.abs(F.col("b") - F.col("mb")), 0.5, 1000).alias("db"))
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), 1000).alias(c) for c in ("words_ratio", "layout_ratio")]
+    told = measured.filter(has_sentences(density)).groupBy(*by).agg(F.count("*").alias(f"{prefix}n"), *quartiles)
+    spread = lambda c: ((F.col(c)[1] - F.col(c)[0]) / 0.6745)
+    return told.select(*by, f"{prefix}n", *(x for c in ("words_ratio", "layout_ratio") for x in (F.col(c)[1].alias(f"{prefix}{c}_mid"), spread(c).alias(f"{prefix}{c}_off"))))
 
 
-def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", extreme: float = 2.0, least: float = 0.05) -> DataFrame:
-    """(key, words, spam_words, redundant_words, sentence_words) of each document with words.
+def nearest_sizes(measured: DataFrame, density: float) -> DataFrame:
+    """The norms of all languages for every size class: its own, or those of the nearest class with `ENOUGH` blocks of sentences (of the fullest one if none has).
 
-    A block is redundant by compression if the log ratio of its words or of its layout is more than `extreme` deviations (each at least
-    `least`) above the median of its language and size; where there is no block of sentences to compare with, only being listed counts.
-    It is spam if it is redundant or listed and none of its words is in a sentence. Repeated keys are summed up as one document.
+    At most 32 rows come to the driver, one a class. No blocks of sentences give no rows.
+    """
+    rows = norms(measured, ["size"], density, "all_").collect()
+    least = min(ENOUGH, max((r["all_n"] for r in rows), default=0))
+    full = sorted((r for r in rows if r["all_n"] >= least), key=lambda r: r["size"])
+    top = int(math.log(MOST + 1) / math.log(GROWTH)) + 1
+    filled = [(size, *min(full, key=lambda r: abs(r["size"] - size))[1:]) for size in range(top)] if full else []
+    return measured.sparkSession.createDataFrame(filled, "size int, all_n bigint, all_words_ratio_mid double, all_words_ratio_off double, all_layout_ratio_mid double, all_layout_ratio_off double")
+
+
+def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", extreme: float = EXTREME, density: float = DENSITY) -> DataFrame:
+    """(key, words, spam_words, redundant_words, sentences) of each document with words.
+
+    A block is redundant if the deviations of its words and of its layout, those above the norm, add up to more than `extreme`. The norm is that of its
+    language and size; with fewer than `ENOUGH` blocks of sentences there, that of its size, or the nearest one, in all languages; in a corpus
+    without sentences nothing is redundant. A redundant block is spam if it also has fewer than `density` sentences a character. The norms are a row for each language and size, a bounded number (see `measure`), and are broadcast. Repeated keys are summed up as one
+    document.
     """
     measured = cut(measure(documents, key, text, lang))
-    z = [(F.ln(r) - F.col(m)) / F.greatest(F.lit(1.4826) * F.col(d), F.lit(least)) for r, m, d in (("words_ratio", "ma", "da"), ("layout_ratio", "mb", "db"))]
-    known = measured.join(norms(measured), ["language", "size"], "left")
-    redundant = F.coalesce(F.greatest(*z) > extreme, F.lit(False))
-    spam = (redundant | F.col("listed")) & (F.col("sentence_words") == 0)
+    own, every = norms(measured, ["language", "size"], density, "own_"), nearest_sizes(measured, density)
+    known = measured.join(F.broadcast(own), ["language", "size"], "left").join(F.broadcast(every), "size", "left")
+
+    def deviation(c: str) -> Column:
+        pick = lambda what: F.when(F.col("own_n") >= ENOUGH, F.col(f"own_{c}_ratio_{what}")).otherwise(F.col(f"all_{c}_ratio_{what}"))
+        return F.greatest(F.lit(0.0), F.coalesce((F.col(f"{c}_ratio") - pick("mid")) / (pick("off") + F.col(f"{c}_step")), F.lit(0.0)))
+
+    redundant = deviation("words") + deviation("layout") > extreme
     total = lambda c, name: F.sum(F.when(c, F.col("words")).otherwise(0)).alias(name)
-    return known.groupBy(F.col("key").alias(key)).agg(F.sum("words").alias("words"), total(spam, "spam_words"), total(redundant, "redundant_words"), F.sum("sentence_words").alias("sentence_words"))
+    return known.groupBy(F.col("key").alias(key)).agg(F.sum("words").alias("words"), total(redundant & ~has_sentences(density), "spam_words"), total(redundant, "redundant_words"), F.sum("sentences").alias("sentences"))
 
 
 def found(judged: DataFrame, key: str = "doc_id", share: float = 0.5) -> DataFrame:
