@@ -1,9 +1,9 @@
 """Setting unparseable rows apart while loading the rest.
 
-Blocks of records go through a columnar path: Arrow's CSV reader and vectorised value checks, which accept
-or refuse a block as a whole. A refused block is halved again and again until the troublesome records are
-isolated, and only those are read by the strict parser, which either loads a record (it was merely unusual) or
-names the reason.
+Blocks of records go through a columnar path that accepts or refuses a block as a whole: one pattern over all its records, Arrow's CSV reader and
+checks of whole columns. A refused block is halved again and again, down to a few records, and only those are read by the strict
+parser, which either loads a record (it was merely unusual) or names the reason. Nothing is tested record by record before. How many records a
+block starts with follows what the last blocks did, so input with many bad records is not read over and over.
 
 Reasons, the first that applies: ``quoting``, ``column_count``, ``value``.
 """
@@ -13,15 +13,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
+#: parts the records of a block while their structure is tested; a block with one inside is refused
+PART = "\x1e"
 
 
 @dataclass(frozen=True)
@@ -33,26 +35,47 @@ class FieldRule:
     timestamp: bool = False
     ignore_case: bool = False
 
+    @cached_property
+    def whole(self) -> re.Pattern:
+        """The pattern, for `fullmatch`; letter case of plain letters only."""
+        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+
+    @property
     def regex(self) -> str:
-        return ("(?i)" if self.ignore_case else "") + rf"^(?:{self.pattern})$"
+        """The same in RE2."""
+        return ("(?i)" if self.ignore_case else "") + rf"\A(?:{self.pattern})\z"
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """Delimited records with double quotes; `block` records are read at once."""
+    """Delimited records with double quotes; at most `block` records are read at once, and up to `strict` of a refused block one by one."""
 
     rules: tuple[FieldRule, ...]
     delimiter: str = ","
     block: int = 4096
+    strict: int = 8
     names: tuple[str, ...] = field(init=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "names", tuple(r.name for r in self.rules))
 
-    def structure(self) -> str:
-        """RE2 pattern of a record without blanks outside its quotes: no quote in an unquoted field, none left open."""
-        one = rf'(?:"(?:[^"]|"")*"|[^"{self.delimiter}]*)'
-        return rf"(?s)^(?:{one}{self.delimiter}){{{len(self.rules) - 1}}}{one}\r?$"
+    def __getstate__(self) -> dict:
+        """What goes to the tasks: not what is worked out from it."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("structure", "options")}
+
+    @cached_property
+    def structure(self) -> re.Pattern:
+        """A block of records, parted by `PART`, all without blanks outside quotes, quotes in unquoted fields or unquoted line ends. Never steps back."""
+        one = rf'(?:"(?:[^"{PART}]++|"")*+"|[^"{self.delimiter}\r\n{PART}]*+)'
+        record = rf"(?:{one}{self.delimiter}){{{len(self.rules) - 1}}}{one}\r?"
+        return re.compile(rf"{record}(?:{PART}{record})*+")
+
+    @cached_property
+    def options(self) -> tuple[pacsv.ParseOptions, pacsv.ConvertOptions]:
+        return (
+            pacsv.ParseOptions(delimiter=self.delimiter, newlines_in_values=True, ignore_empty_lines=False),
+            pacsv.ConvertOptions(column_types=dict.fromkeys(self.names, pa.string()), null_values=[], strings_can_be_null=False),
+        )
 
 
 COMPARISON_RECORD = Grammar(
@@ -124,101 +147,97 @@ def diagnose(record: str | None, grammar: Grammar) -> tuple[list[str] | None, st
     if len(fields) != len(grammar.rules):
         return None, "column_count"
     for rule, value in zip(grammar.rules, fields):
-        if not re.search(rule.regex().replace("$", r"\Z"), value) or (rule.timestamp and not real_time(value)):
+        if not rule.whole.fullmatch(value) or (rule.timestamp and not real_time(value)):
             return None, "value"
     return fields, None
 
 
-def valid_values(values: pa.Array, rule: FieldRule) -> np.ndarray:
-    """Of each trimmed value, whether it follows the rule; a null does not. Vectorised, but for days that are not in the calendar."""
-    good = pc.fill_null(pc.match_substring_regex(values, rule.regex().replace("$", r"\z")), False).to_numpy(zero_copy_only=False)
-    if rule.timestamp and good.any():
+def all_valid(values: pa.Array, rule: FieldRule) -> bool:
+    """Whether every trimmed value of a block follows the rule; a null does not. Each different value is looked at once."""
+    if values.null_count:
+        return False
+    different = values.unique()
+    # Arrow prepares a pattern anew for each call, which pays for many values only
+    if len(different) < 256:
+        if not all(map(rule.whole.fullmatch, different.to_pylist())):
+            return False
+    elif not pc.all(pc.match_substring_regex(different, rule.regex)).as_py():
+        return False
+    if rule.timestamp:
         try:
-            values.filter(pa.array(good)).cast(pa.timestamp("s"))
+            different.cast(pa.timestamp("s"))
         except pa.ArrowInvalid:
-            good = good.copy()
-            for k in np.flatnonzero(good):
-                good[k] = real_time(values[int(k)].as_py())
-    return good
-
+            return False
+    return True
 
-def plain(records: pa.Array, grammar: Grammar) -> np.ndarray:
-    """Of each record of a batch, whether its quoting and number of fields are plain; one vectorised test for all blocks."""
-    return pc.fill_null(pc.match_substring_regex(records, grammar.structure().replace("$", r"\z")), False).to_numpy(zero_copy_only=False)
 
-
-def read_block(records: pa.Array, grammar: Grammar) -> tuple[list[pa.Array], np.ndarray] | None:
-    """The trimmed columns of a block of plain records and which rows have only valid values; None if Arrow refuses the block."""
-    n = len(records)
-    data = "\n".join(records.to_pylist()).encode()
+def read_block(records: pa.Array, grammar: Grammar) -> list[pa.Array] | None:
+    """The trimmed columns of a block, or None if it is refused: not all records are plain, Arrow cannot read them, or a column has an invalid value."""
+    texts = records.to_pylist()
+    if records.null_count or not grammar.structure.fullmatch(PART.join(texts)):
+        return None
+    data = "\n".join(texts).encode()
     if data.startswith(b"\xef\xbb\xbf"):
         return None
+    names = grammar.names
     try:
         read = pacsv.read_csv(
             pa.BufferReader(data),
-            pacsv.ReadOptions(column_names=grammar.names, use_threads=False, block_size=len(data) + 1),
-            pacsv.ParseOptions(delimiter=grammar.delimiter, newlines_in_values=True, ignore_empty_lines=False),
-            pacsv.ConvertOptions(column_types=dict.fromkeys(grammar.names, pa.string()), null_values=[], strings_can_be_null=False),
+            pacsv.ReadOptions(column_names=names, use_threads=False, block_size=len(data) + 1),
+            *grammar.options,
         )
     except pa.ArrowInvalid:
         return None
-    if read.num_rows != n:
+    if read.num_rows != len(texts):
         return None
-    columns = [pc.utf8_trim(read.column(name).combine_chunks(), BLANKS) for name in grammar.names]
-    return columns, np.logical_and.reduce([valid_values(c, rule) for c, rule in zip(columns, grammar.rules)])
+    columns = [pc.utf8_trim(read.column(k).combine_chunks(), BLANKS) for k in range(len(names))]
+    return columns if all(all_valid(c, rule) for c, rule in zip(columns, grammar.rules)) else None
 
 
-def bisect(n: int, accept: Callable[[int, int], object]) -> Iterator[tuple]:
-    """Halve [0, n) until `accept(low, high)` takes a block or the block is a single row.
+def bisect(low: int, high: int, accept: Callable[[int, int], object], least: int = 1) -> Iterator[tuple]:
+    """Halve [low, high) until `accept(low, high)` takes a block or the block has at most `least` rows.
 
-    In order: (low, high, what accept returned, or None for a single bad row). The stack holds at most log2(n) halves.
+    In order: (low, high, what accept returned, None if it refused). The stack holds at most log2 of the rows.
     """
-    todo = [(0, n)] if n else []
+    todo = [(low, high)] if high > low else []
     while todo:
-        low, high = todo.pop()
-        if (found := accept(low, high)) is not None or high - low == 1:
-            yield low, high, found
+        i, j = todo.pop()
+        if (found := accept(i, j)) is not None or j - i <= least:
+            yield i, j, found
         else:
-            half = (low + high) // 2
-            todo += [(half, high), (low, half)]
+            half = (i + j) // 2
+            todo += [(half, j), (i, half)]
 
 
-def isolate(good: np.ndarray) -> list[int]:
-    """The rows that a halving search finds bad, given which rows pass the vectorised test."""
-    return [low for low, _, fine in bisect(len(good), lambda i, j: True if good[i:j].all() else None) if not fine]
+def bisect_all(n: int, accept: Callable[[int, int], object], most: int, least: int) -> Iterator[tuple]:
+    """`bisect` over n rows in blocks: twice as many rows after an accepted one, half as many after a refused one, from 4 x `least` to `most`."""
+    at, size = 0, most
+    while at < n:
+        size = min(max(size, 4 * least), most)
+        stop, parts = min(n, at + size), 0
+        for part in bisect(at, stop, accept, least):
+            parts += 1
+            yield part
+        at, size = stop, size * 2 if parts == 1 else size // 2
 
 
-def read_batch(texts: pa.Array, grammar: Grammar) -> tuple[list[pa.Array], pa.Array]:
+def read_batch(texts: pa.Array, grammar: Grammar, read: Callable[[pa.Array, Grammar], list[pa.Array] | None] = read_block) -> tuple[list[pa.Array], pa.Array]:
     """The fields of a batch of records, each a column with nulls where a record is set apart, and the reasons.
 
-    Of each block, records that are not plain are isolated by halving; the others go through Arrow's reader as one block, which is
-    halved if Arrow refuses it, and records with invalid values are isolated the same way. All isolated ones are diagnosed strictly.
+    Blocks are read by `read` and halved where it refuses; up to `grammar.strict` records that remain are diagnosed one by one.
     """
-    is_plain, reasons = plain(texts, grammar), [None] * len(texts)
-    lists: list[list[pa.Array]] = [[] for _ in grammar.names]
-    places: list[np.ndarray] = []
-    for at in range(0, len(texts), grammar.block):
-        ok = is_plain[at : at + grammar.block]
-        alone, rows = [at + k for k in isolate(ok)], at + np.flatnonzero(ok)
-        for low, high, found in bisect(len(rows), lambda i, j: read_block(texts.take(pa.array(rows[i:j])), grammar)):
-            if found is None:
-                alone.append(int(rows[low]))
-                continue
-            columns, good = found
-            alone += rows[low:high][isolate(good)].tolist()
-            places.append(rows[low:high][good])
-            for out, column in zip(lists, columns):
-                out.append(column.filter(pa.array(good)))
-        told = [diagnose(texts[k].as_py(), grammar) for k in alone]
-        places.append(np.array(alone, dtype=np.int64))
-        for k, out in enumerate(lists):
-            out.append(pa.array([fields and fields[k] for fields, _ in told], pa.string()))
-        for row, (_, reason) in zip(alone, told):
-            reasons[row] = reason
-    if not len(texts):
-        return [pa.array([], pa.string()) for _ in lists], pa.array([], pa.string())
-    order = pa.array(np.argsort(np.concatenate(places), kind="stable"))
-    return [pa.concat_arrays(x).take(order) for x in lists], pa.array(reasons, pa.string())
+    lists: list[list[pa.Array]] = [[pa.array([], pa.string())] for _ in grammar.names]
+    reasons: list[str | None] = []
+    for low, high, columns in bisect_all(len(texts), lambda i, j: read(texts.slice(i, j - i), grammar), grammar.block, grammar.strict):
+        if columns is None:
+            told = [diagnose(text, grammar) for text in texts.slice(low, high - low).to_pylist()]
+            columns = [pa.array([fields and fields[k] for fields, _ in told], pa.string()) for k in range(len(lists))]
+            reasons += [reason for _, reason in told]
+        else:
+            reasons += [None] * (high - low)
+        for out, column in zip(lists, columns):
+            out.append(column)
+    return [pa.concat_arrays(x) for x in lists], pa.array(reasons, pa.string())
 
 
 def parse_records(df: DataFrame, text: str, keys: Sequence[str], grammar: Grammar = COMPARISON_RECORD) -> DataFrame:
@@ -243,9 +262,10 @@ def parse_records(df: DataFrame, text: str, keys: Sequence[str], grammar: Gramma
 
 
 def typed(parsed: DataFrame) -> DataFrame:
-    """The loaded comparison records with their types; `ord` beyond bigint becomes null."""
+    """The loaded comparison records with their types. `ord` is null beyond bigint; `ord_text` has its digits as they came in, whatever their number."""
     return parsed.filter("reason is null").drop("reason").withColumns(
         {
+            "ord_text": F.col("ord"),
             "ord": F.col("ord").try_cast("bigint"),
             "winner": F.lower("winner"),
             "weight": F.col("weight").try_cast("double"),
@@ -254,28 +274,27 @@ def typed(parsed: DataFrame) -> DataFrame:
     )
 
 
-def check_column(df: DataFrame, column: str, keys: Sequence[str], rule: FieldRule = WINNER_RULE, block: int = 4096) -> DataFrame:
+def check_column(df: DataFrame, column: str, keys: Sequence[str], rule: FieldRule = WINNER_RULE, block: int = 4096, strict: int = 8) -> DataFrame:
     """`keys` of the rows whose `column`, blanks around it aside, breaks the rule, with the reason ``value``.
 
-    Same path as for records, of one column: a block passes as a whole or is halved. Null breaks the rule.
-    A repeated row comes out each time.
+    Same path as for records, of one column: a block passes as a whole or is halved, and what is left is looked at one by one. Null breaks
+    the rule. A repeated row comes out each time.
     """
     if "reason" in keys:
         raise ValueError("a key named reason")
     source = df.select(*keys, F.col(column).cast("string").alias("__value"))
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["reason string"])
-    strict = re.compile(rule.regex().replace("$", r"\Z"))
 
     def breaks(value: str | None) -> bool:
-        return value is None or not strict.search(value) or (rule.timestamp and not real_time(value))
+        return value is None or not rule.whole.fullmatch(value) or (rule.timestamp and not real_time(value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.num_columns - 1
             values, bad = pc.utf8_trim(batch.column(at).cast(pa.string()), BLANKS), []
-            good = valid_values(values, rule)
-            for start in range(0, batch.num_rows, block):
-                bad += [start + k for k in isolate(good[start : start + block]) if breaks(values[start + k].as_py())]
+            for low, high, fine in bisect_all(batch.num_rows, lambda i, j, v=values: all_valid(v.slice(i, j - i), rule) or None, block, strict):
+                if not fine:
+                    bad += [low + k for k, value in enumerate(values.slice(low, high - low).to_pylist()) if breaks(value)]
             if bad:
                 out = batch.select(list(range(at))).take(pa.array(bad))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(["value"] * len(bad), pa.string())], [*out.schema.names, "reason"])
@@ -286,8 +305,3 @@ def check_column(df: DataFrame, column: str, keys: Sequence[str], rule: FieldRul
 def rejected(parsed: DataFrame) -> DataFrame:
     """The rows set apart, with their reason."""
     return parsed.filter("reason is not null")
-
-
-def is_winner(column: Column) -> Column:
-    """The winner rule as an expression, for callers that need no diagnosis."""
-    return F.coalesce(column.rlike(r"^[ \t]*(?i:left|right|tie)[ \t]*\z"), F.lit(False))

@@ -70,7 +70,7 @@ _LABELS = f"""
 
 ORACLES = {
     "p4_found": f"WITH {_PARSED} SELECT 'food_raw' AS origin, raw_id AS row_id, reason FROM told WHERE reason IS NOT NULL UNION SELECT 'food', ord, 'value' FROM food WHERE {_BAD_WINNER}",
-    "p4_loaded": f"WITH {_PARSED} SELECT raw_id, try_cast(f[1] AS BIGINT) AS ord, f[2] AS \"left\", f[3] AS \"right\", lower(f[4]) AS winner, try_cast(f[5] AS DOUBLE) AS weight, try_cast(f[6] AS TIMESTAMP) AS judged_at FROM told WHERE reason IS NULL",
+    "p4_loaded": f"WITH {_PARSED} SELECT raw_id, try_cast(f[1] AS BIGINT) AS ord, f[1] AS ord_text, f[2] AS \"left\", f[3] AS \"right\", lower(f[4]) AS winner, try_cast(f[5] AS DOUBLE) AS weight, try_cast(f[6] AS TIMESTAMP) AS judged_at FROM told WHERE reason IS NULL",
     "p4_reasons": f"WITH {_PARSED} SELECT feed, coalesce(reason, 'loaded') AS outcome, count(*) AS n FROM told GROUP BY ALL",
     "p5_found": f"WITH {_LABELS} SELECT side, item FROM res JOIN (SELECT count(*) AS total FROM food) ON true WHERE item IS NOT NULL AND n >= 0.02 * total",
     "p5_results": f"WITH {_LABELS} SELECT * FROM res",
