@@ -12,10 +12,11 @@ exceed that share of the load) and `buckets_per_task * tasks` bucket loads, what
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,9 +89,14 @@ def _with_tasks(df: DataFrame, plan: LoadPlan) -> DataFrame:
 
 
 def fragment(df: DataFrame, plan: LoadPlan) -> DataFrame:
-    """The big side, each row once, with `__task`: rows of a split key are dealt out in turn over its shards."""
-    turn = F.pmod(F.monotonically_increasing_id(), F.greatest(F.size("__tasks"), F.lit(1)).cast("bigint")).cast("int") + 1
-    return _with_tasks(df, plan).withColumn("__task", F.coalesce(F.get("__tasks", turn - 1), "__light")).drop("__tasks", "__light")
+    """The big side, each row once, with `__task`: rows of a split key are dealt out over its shards.
+
+    They are dealt by a hash of the row and of the partition it comes from, so a task that is run again deals them the same, whatever order
+    they come in, and repeated rows are spread as well.
+    """
+    dealt = df.withColumn("__share", F.xxhash64(F.spark_partition_id(), *(F.col(f"`{c}`") for c in df.columns)))
+    turn = F.pmod(F.col("__share"), F.greatest(F.size("__tasks"), F.lit(1)).cast("bigint")).cast("int")
+    return _with_tasks(dealt, plan).withColumn("__task", F.coalesce(F.get("__tasks", turn), "__light")).drop("__tasks", "__light", "__share")
 
 
 def replicate(df: DataFrame, plan: LoadPlan) -> DataFrame:
@@ -132,26 +138,55 @@ def label_key(column: Column | str) -> Column:
     return F.lower(F.btrim(column, F.lit(" \t")))
 
 
+def combine_in_place(df: DataFrame, held: int = 400_000) -> DataFrame:
+    """The different rows of `df`, of strings, with how often each occurs (`n`), combined within each task without a shuffle.
+
+    A row comes out once for each task that has it, and again whenever a task held `held` different ones.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        rows = 0
+
+        def combined() -> pa.Table:
+            return pa.concat_tables(parts).group_by(names).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+
+        for batch in batches:
+            parts.append(pa.table([*(c.cast(pa.string()) for c in batch.columns), pa.repeat(pa.scalar(1, pa.int64()), batch.num_rows)], names=[*names, "n"]))
+            rows += batch.num_rows
+            if rows > held:
+                parts = [combined()]
+                if (rows := parts[0].num_rows) > held // 2:
+                    yield from parts[0].to_batches()
+                    parts, rows = [], 0
+        if parts:
+            yield from combined().to_batches()
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in names), "n bigint"]))
+
+
+def label_rows(log: DataFrame) -> DataFrame:
+    """(side, label, opponent, won, tied, n, key): both sides of a comparison log, combined in place; n comparisons each."""
+    log = combine_in_place(log.select("left", "right", F.lower(F.btrim("winner", F.lit(" \t"))).alias("outcome")))
+    sides = [
+        F.struct(F.lit(side).alias("side"), F.col(f"`{side}`").alias("label"), label_key(f"`{other}`").alias("opponent"), F.coalesce(F.col("outcome") == side, F.lit(False)).alias("won"), F.coalesce(F.col("outcome") == "tie", F.lit(False)).alias("tied"), "n")
+        for side, other in (("left", "right"), ("right", "left"))
+    ]
+    return log.select(F.inline(F.array(*sides))).withColumn("key", label_key("label"))
+
+
 def label_results(log: DataFrame, items: DataFrame) -> DataFrame:
     """Per side and label of a comparison log: rows, wins, ties and different opponents (side, item, n, wins, ties, opponents).
 
     Labels are written as in `items` (letter case and outer blanks aside); one that is not there stands as it is, without outer
     blanks or change of case. Every row counts, repeated ones too; a null label is a group of its own, with a null item.
-    Rows are first combined map-side by side, label, opponent and winner, then matched with `items` by fragment and replicate.
+    What each task has of the log is combined there; the combined rows, of which a hot label has the more the more tasks and opponents there are, go
+    to their tasks by fragment and replicate and nowhere else before they are added up.
     """
-    outcome = F.lower(F.btrim("winner", F.lit(" \t")))
-    sides = [
-        F.struct(F.lit(side).alias("side"), F.col(f"`{side}`").alias("label"), F.col(f"`{other}`").alias("opponent"), F.coalesce(outcome == side, F.lit(False)).alias("won"), F.coalesce(outcome == "tie", F.lit(False)).alias("tied"))
-        for side, other in (("left", "right"), ("right", "left"))
-    ]
-    # two passes of a narrow scan, each combined before its shuffle, cost less than doubling every row
-    combos = None
-    for s in sides:
-        part = log.select(s.alias("s")).select("s.*").groupBy("side", "label", "opponent", "won", "tied").agg(F.count("*").alias("n"))
-        combos = part if combos is None else combos.unionAll(part)
-    combos = cut(combos.withColumns({"key": label_key("label"), "opponent": label_key("opponent")}))
+    rows = cut(label_rows(log))
     names = items.select(label_key("item").alias("key"), F.col("item")).dropDuplicates(["key"])
-    joined = balanced_join(combos, names, ["key"], plan=plan_loads(combos, ["key"]))
+    joined = balanced_join(rows, names, ["key"], plan=plan_loads(rows, ["key"]))
     pairs = joined.groupBy("side", F.coalesce("item", "label").alias("item"), "opponent").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("won"), F.col("n")).otherwise(0)).alias("wins"), F.sum(F.when(F.col("tied"), F.col("n")).otherwise(0)).alias("ties")
     )
@@ -162,8 +197,3 @@ def heavy_labels(results: DataFrame, share: float = 0.02) -> DataFrame:
     """(side, item) of labels that hold at least `share` of their side's rows; a null label never comes out."""
     totals = results.groupBy("side").agg(F.sum("n").alias("total"))
     return results.join(F.broadcast(totals), "side").filter(F.col("item").isNotNull() & (F.col("n") >= F.lit(share) * F.col("total"))).select("side", "item")
-
-
-def split_sizes(spark: SparkSession, plan: LoadPlan) -> DataFrame:
-    """(task, load) as planned."""
-    return spark.createDataFrame(list(enumerate(plan.loads)), "task int, load double")
