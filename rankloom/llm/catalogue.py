@@ -100,7 +100,8 @@ QUERIES = {
 }
 
 _RUNS = """
- runs AS (SELECT DISTINCT ON (run_id) * FROM rust_python WHERE time > 0 AND isfinite(time)),
+ good AS (SELECT * FROM rust_python WHERE time > 0 AND isfinite(time)),
+ runs AS (SELECT DISTINCT ON (run_id) * FROM good WHERE run_id IS NOT NULL UNION ALL SELECT * FROM good WHERE run_id IS NULL),
  spans AS (SELECT algorithm, solver, time, strftime(started_at, '%Y-%m-%d') AS run_span FROM runs
   UNION ALL SELECT algorithm, solver, time, strftime(started_at, '%G-W%V') FROM runs)"""
 
