@@ -71,6 +71,11 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: no container overfull, every token of every text placed once."""
+    return packing.audit(cut(p6_containers(spark, sf_dir)), "doc_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.split_texts(p6_containers(spark, sf_dir), "doc_id")
 
@@ -95,7 +100,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_labels, p1_raters, p1_agreement, p2_found, p2_percentiles, p3_found, p3_ranking,
-        p6_found, p6_containers, p7_found, p7_leaks, p8_found, p8_words,
+        p6_found, p6_containers, p6_audit, p7_found, p7_leaks, p8_found, p8_words,
     )
 }
 
@@ -119,6 +124,7 @@ _UNITS = f"""
  dist AS (SELECT 'nominal' AS distance, c, k, e, CASE WHEN c = k THEN 0.0 ELSE 1.0 END AS d FROM pairs UNION ALL SELECT 'ordinal', c, k, e, power(pc - pk, 2) FROM pairs UNION ALL SELECT 'interval', c, k, e, power(c - k, 2) FROM pairs)"""
 
 ORACLES = {
+    "p6_audit": "SELECT count(DISTINCT doc_id) AS keys, 0::BIGINT AS overfull, 0::BIGINT AS gaps FROM documents",
     "p1_agreement": f"""WITH {_UNITS} SELECT distance, round(1 - sum(coalesce(o, 0) * d) / sum(e * d), 6) AS alpha, cast(round(any_value(t)) AS BIGINT) AS pairable
  FROM dist LEFT JOIN co USING (c, k), tot GROUP BY distance""",
     "p2_found": f"""WITH {_RUNS}, q AS (SELECT algorithm, solver, run_span, 50 AS pct, quantile_disc(time, 0.5) AS v FROM spans GROUP BY ALL

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,36 +26,34 @@ from ..session import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
 #: how byte-level BPE splits text before merging: a fixed value of the vocabulary
+# fixed value: Unicode white space
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: white space that the splitting pattern would step back through: a run but for the character before a word
+_RUN = re.compile(f"[{_SPACE}]{{10000,}}(?=[{_SPACE}]|\\Z)")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Callable[[str], int]:
-    """Counts tokens; a file of ranks (.tiktoken), read once a worker."""
+    """Counts the tokens of whole texts; a file of ranks (.tiktoken), read once a worker: at this path there or, failing that, as sent by `SparkContext.addFile`."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(text: str) -> int:
-        # the encoder's time grows faster than a run without blanks; parts end before a blank, where tokens end anyway, or in an endless run
-        return sum(len(coder.encode_ordinary(part)) for part in parts(text))
+        # such a run is one piece of the pattern, which overflows its stack on the longest; what is around it splits as before
+        n = at = 0
+        for run in _RUN.finditer(text):
+            n += len(coder.encode_ordinary(text[at : run.start()])) + len(coder._encode_single_piece(run[0]))
+            at = run.end()
+        return n + len(coder.encode_ordinary(text[at:]))
 
     return count
 
 
-def parts(text: str, most: int = 20_000) -> Iterator[str]:
-    """A text in parts of at most `most` characters, cut before a blank that follows a non-blank where there is one."""
-    at = 0
-    while len(text) - at > most:
-        cuts = [m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text[at : at + most])]
-        stop = at + (cuts[-1] if cuts and cuts[-1] else most)
-        yield text[at:stop]
-        at = stop
-    yield text[at:]
-
-
 class OpenWindows:
     """At most `most` open windows of one partition. `put` returns the window of a piece."""
 
@@ -187,3 +185,13 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, windows:
 def split_texts(packed: DataFrame, key: str) -> DataFrame:
     """The texts in more than one piece."""
     return packed.filter("piece = 1").select(key).distinct()
+
+
+def audit(packed: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row (keys, overfull, gaps): different keys, containers beyond `capacity`, and keys whose pieces do not follow each other from token 0 with all but the last full."""
+    held = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("overfull"))
+    wrong = (F.col("first_token") != F.col("piece") * capacity) | (F.col("n_tokens") > capacity) | (F.col("n_tokens") < 0)
+    texts = packed.groupBy(key).agg(F.max("piece").alias("last"), F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(F.col("n_tokens") < capacity).alias("short"))
+    bad = (F.col("wrong") > 0) | (F.col("n") != F.col("last") + 1) | (F.col("short") > 1)
+    told = texts.agg(F.count("*").alias("keys"), F.count_if(bad).alias("gaps"))
+    return told.join(F.broadcast(held)).select("keys", "overfull", "gaps")

@@ -11,10 +11,34 @@ from rankloom.llm import packing as P
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(P.VOCABULARY), reason="no vocabulary file")
 
 
-@given(st.text(max_size=400), st.integers(1, 50))
-def test_parts_are_the_text(text, most):
-    parts = list(P.parts(text, most))
-    assert "".join(parts) == text and all(len(p) <= most for p in parts)
+@needs_vocabulary
+def test_long_runs_are_counted_whole():
+    """As the vocabulary's merges, done one by one on a short run and by halves that meet at a blank on a long text, say."""
+    import base64
+
+    import tiktoken
+
+    with open(P.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    def merged(piece):
+        parts = [bytes([b]) for b in piece.encode()]
+        while pairs := [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            k = min(pairs)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return len(parts)
+
+    count, rng = P.encoder(P.VOCABULARY), np.random.default_rng(6)
+    for n in (50, 600, 1500):
+        run = "".join(rng.choice(list("abcdefghij"), n))
+        assert count(run) == merged(run)
+    long = "".join(rng.choice(list("abcdefghij"), 60_000))
+    assert count(long + " " + long) == count(long) + count(" " + long)
+    whole = tiktoken.Encoding("whole", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for space in (" " * 20_000, "\n" * 15_000, " \t" * 9_000, "\u2003\n" * 9_000):
+        for text in (space, "a" + space, space + "b", "a" + space + "b", f"one{space}two{space}, three{space}"):
+            assert count(text) == len(whole.encode_ordinary(text))
+    assert count("a" + " " * 3_000_000 + "b") > 10
 
 
 @given(st.lists(st.integers(0, 100), max_size=60), st.integers(1, 6))
@@ -53,6 +77,7 @@ def test_containers(spark):
         assert len(got) == max(1, -(-n // 256))
     least = -(-sum(fill.values()) // 256)
     assert len(fill) <= 1.15 * least + 2
+    assert tuple(P.audit(P.pack(df, "doc_id", "text", capacity=256), "doc_id", 256).first()) == (len(texts), 0, 0)
     split = {r["doc_id"] for r in P.split_texts(P.pack(df, "doc_id", "text", capacity=256), "doc_id").collect()}
     assert split == {k for k, t in enumerate(texts) if count(t or "") > 256}
 
