@@ -2,10 +2,11 @@
 
 Words are compared without case, accents, markup, invisible characters and line-end hyphens. A shard's words become numbers
 (those of the evaluation items; all others are one symbol), its suffixes are sorted, and the Burrows-Wheeler transform goes into a
-wavelet matrix over bit vectors with rank counts. Every phrase of five words of the items is searched backwards, all phrases at once;
+wavelet matrix over bit vectors with rank counts. Every phrase of three words of the items is searched backwards, all phrases at once;
 occurrences are located by walking to sampled suffix positions. Occurrences that follow each other in item and document,
-give or take a few words, form a chain; chains of enough words are leaks, their union is what an item has in a document and
-their spans are what to remove. Common phrases shared by chance stay below the chain length, however long the document.
+give or take a few words, form a chain, in whose gaps single words are matched in order; chains of enough words are leaks, the union
+of those near each other is what an item has in a document and their spans are what to remove. Common phrases shared by chance stay below the chain
+length or are strewn over a long document. So an item is found with one word in four replaced throughout; with one in three no phrase is left whole.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PHRASE = 5
-#: words between two matches of a chain, least words of a chain, share of an item that must stand in a document
-GAP, CHAIN, SHARE = 4, 7, 0.5
+PHRASE = 3
+#: words between two matches of a chain, least words of a chain in its phrases, share of an item that must stand in a document
+GAP, CHAIN, SHARE = 4, 9, 0.5
+#: chains count together that begin within so many times the item's words, and so many more: chance strews them over a long document
+SPREAD = 2, 50
 
 _PLAIN = re.compile(r"[^\W_]+")
 _SPECIAL = re.compile("[<&­̀-ͯ؜ᅟᅠ᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]|[-‐‑][ \t]*\r?\n")
@@ -163,35 +166,65 @@ class Items:
     """The evaluation items: vocabulary, phrases as numbers, and where each phrase stands. Numbers: 0 ends a shard, 1 a text, 2 is any other word."""
 
     def __init__(self, items: Sequence[tuple[int, str]]) -> None:
-        self.words = {i: [fold(w) for w, _, _ in words_of(t)] for i, t in items if t}
-        self.number = {w: k + 3 for k, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
+        words = {i: [fold(w) for w, _, _ in words_of(t)] for i, t in items if t}
+        self.number = {w: k + 3 for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
+        self.ids = {i: [self.number[w] for w in ws] for i, ws in words.items()}
         self.places: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, ws in self.words.items():
-            ids, m = [self.number[w] for w in ws], min(PHRASE, len(ws))
+        for i, ids in self.ids.items():
+            m = min(PHRASE, len(ids))
             for p in range(len(ids) - m + 1) if m else ():
                 self.places[m][tuple(ids[p : p + m])].append((i, p))
 
 
-def chains(hits: list[tuple[int, int]], m: int) -> list[tuple[int, int, set[int]]]:
-    """Occurrences (place in item, place in document) of m words joined along the document: (first word, word after the last, words of the item).
+def chains(hits: list[tuple[int, int]], m: int) -> list[list[tuple[int, int]]]:
+    """Occurrences (place in item, place in document) of m words joined along the document.
 
     Only chains that end within reach are looked at, so long documents take time in proportion.
     """
-    closed: list[list] = []
-    opened: list[list] = []
+    closed: list[list[tuple[int, int]]] = []
+    opened: list[list[tuple[int, int]]] = []
     for p, q in sorted(hits, key=lambda h: (h[1], h[0])):
-        reach = [c for c in opened if q - c[1] <= GAP + m]
+        reach = [c for c in opened if q - c[-1][1] <= GAP + m]
         if len(reach) < len(opened):
-            closed += [c for c in opened if q - c[1] > GAP + m]
+            closed += [c for c in opened if q - c[-1][1] > GAP + m]
             opened = reach
         for chain in reversed(opened):
-            if 0 < p - chain[0] <= GAP + m and abs((q - chain[1]) - (p - chain[0])) <= GAP:
-                chain[0], chain[1] = p, q
-                chain[3].update(range(p, p + m))
+            before_p, before_q = chain[-1]
+            if 0 < p - before_p <= GAP + m and abs((q - before_q) - (p - before_p)) <= GAP:
+                chain.append((p, q))
                 break
         else:
-            opened.append([p, q, q, set(range(p, p + m))])
-    return [(first, last + m, covered) for _, last, first, covered in closed + opened]
+            opened.append([(p, q)])
+    return closed + opened
+
+
+def covered(chain: list[tuple[int, int]], m: int, item: Sequence[int], text: Sequence[int]) -> set[int]:
+    """The places of an item that a chain has: those of its phrases, and in the gaps between them the longest common series of single words."""
+    out = {p + k for p, _ in chain for k in range(m)}
+    for (p, q), (p2, q2) in zip(chain, chain[1:]):
+        a, b = range(p + m, p2), range(q + m, q2)
+        best: list[list[tuple[int, ...]]] = [[()] * (len(b) + 1)]
+        for x in a:
+            row: list[tuple[int, ...]] = [()]
+            for k, y in enumerate(b):
+                row.append((*best[-1][k], x) if item[x] == text[y] else max(row[k], best[-1][k + 1], key=len))
+            best.append(row)
+        out.update(best[-1][-1])
+    return out
+
+
+def together(good: list[tuple[int, int, set[int]]], size: int) -> tuple[float, list[tuple[int, int, set[int]]]]:
+    """The greatest share of an item that chains (first word, word after the last, places of the item) within `SPREAD` of each other have, and the chains of all such places that have enough."""
+    good, best, kept = sorted(good, key=lambda c: c[0]), 0.0, set()
+    for k, (first, _, _) in enumerate(good):
+        end = k
+        while end < len(good) and good[end][0] - first <= SPREAD[0] * size + SPREAD[1]:
+            end += 1
+        share = len(set().union(*(has for *_, has in good[k:end]))) / size
+        best = max(best, share)
+        if share > SHARE:
+            kept.update(range(k, end))
+    return best, [good[n] for n in sorted(kept)]
 
 
 def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
@@ -228,18 +261,25 @@ def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[in
         for phrase, doc, word in zip(np.repeat(which, counts).tolist(), docs.tolist(), origin[at].tolist()):
             for item, p in places[keys[phrase]]:
                 found[doc, item].append((p, word, m))
-    spots: dict[int, list] = {}
+    spots: dict[int, tuple[list, list[int]]] = {}
     for (doc, item), hits in found.items():
-        m, size = hits[0][2], len(items.words[item])
-        if len({p for p, _, _ in hits}) * m <= SHARE * size:
+        m, ids = hits[0][2], items.ids[item]
+        size = len(ids)
+        # what a chain can have is its phrases and what stands in the gaps between them
+        if len({p for p, _, _ in hits}) * (m + GAP) <= SHARE * size:
+            continue
+        linked = chains([h[:2] for h in hits], m)
+        if sum(c[-1][0] + m - c[0][0] for c in linked) <= SHARE * size:
             continue
-        good = [c for c in chains([h[:2] for h in hits], m) if len(c[2]) >= min(CHAIN, size)]
-        share = len(set().union(*(c[2] for c in good))) / size if good else 0.0
+        if doc not in spots:
+            words = words_of(texts[doc])
+            spots[doc] = words, [folded.get(w, 2) for w, _, _ in words]
+        words, told = spots[doc]
+        good = [(c[0][1], c[-1][1] + m, covered(c, m, ids, told)) for c in linked if len({p + n for p, _ in c for n in range(m)}) >= min(CHAIN, size)]
+        share, good = together(good, size)
         if share > SHARE:
-            if doc not in spots:
-                spots[doc] = words_of(texts[doc])
             spans: list[list[int]] = []
-            for a, b in sorted((spots[doc][first][1], spots[doc][min(end, len(spots[doc])) - 1][2]) for first, end, _ in good):
+            for a, b in sorted((words[first][1], words[min(end, len(words)) - 1][2]) for first, end, _ in good):
                 if spans and a <= spans[-1][1] + 1:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
@@ -247,17 +287,26 @@ def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[in
             yield doc, item, share, [(a, b) for a, b in spans]
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", shard_chars: int = 6_000_000, most_chars: int = 20_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", shard_chars: int = 6_000_000, round_chars: int = 4_000_000) -> DataFrame:
     """(key, item_key, share, spans): documents and the items of which more than half the wording stands in them.
 
-    The items are sent to every task; their size is checked against `most_chars` first. Each task indexes its documents in shards of about
-    `shard_chars` characters (a longer document is a shard of its own) and drops an index when it is searched.
+    The items are sent to every task, in as many rounds over the documents as keep each round to about `round_chars` characters of items (some 200 MB a
+    worker); their size is added up first, so the usual set of items takes one. Each task indexes its documents in shards of about `shard_chars`
+    characters (a longer document is a shard of its own) and drops an index when it is searched.
     Null and empty texts leak nothing; repeated documents come out each time; an empty table gives no rows.
     """
-    size = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    if size > most_chars:
-        raise ValueError(f"{size} characters of evaluation items; the bound is {most_chars}")
-    rows = [(r[0], r[1]) for r in items.select(F.col(item_key).cast("bigint"), item_text).filter(f"{item_key} is not null").collect()]
+    known = items.select(F.col(item_key).cast("bigint").alias("id"), F.col(item_text).cast("string").alias("text")).filter("id is not null and text is not null")
+    rounds = max(1, -(-(known.agg(F.sum(F.length("text"))).first()[0] or 0) // round_chars))
+    found = None
+    for k in range(rounds):
+        part = known if rounds == 1 else known.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k)
+        one = _leaks(documents, [tuple(r) for r in part.collect()], key, text, item_key, shard_chars)
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
+def _leaks(documents: DataFrame, rows: list[tuple[int, str]], key: str, text: str, item_key: str, shard_chars: int) -> DataFrame:
+    """The same for one round of items."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,8 +63,8 @@ def test_cases(spark):
     got = {r["doc_id"] for r in L.leaks(docs, items, shard_chars=500).filter("item_id = 7").collect()}
     assert got == {k for k, leaks in enumerate(CASES.values()) if leaks}
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        L.leaks(docs, items, most_chars=10)
+    rounds = L.leaks(docs, items, shard_chars=500, round_chars=200)
+    assert {r["doc_id"] for r in rounds.filter("item_id = 7").collect()} == got and rounds.filter("item_id = 7").count() == len(got)
 
 
 def test_spans_cover_the_passage_wherever_it_stands():
@@ -80,3 +79,19 @@ def test_long_documents_are_not_leaks_by_chance():
     pool = [f"the {pick()} {pick()} the {pick()} in the {'pqrst'[rng.integers(5)]}." for _ in range(6000)]
     item = "the zebra waits behind the tall gate. the n1 n2 the n3 in the p. the n4 n5 the n6 in the q."
     assert list(L.search_shard([" ".join(pool)], L.Items([(1, item)]))) == []
+
+
+def test_every_kth_word_replaced():
+    """An item of 60 words each of which is replaced, one in k, all along: found from k = 4 on."""
+    words = [f"w{k}" for k in range(60)]
+    for k in (4, 5, 6, 9):
+        text = OTHER + " " + " ".join("foreign" if n % k == k - 1 else w for n, w in enumerate(words)) + " " + OTHER
+        ((_, _, share, _),) = list(L.search_shard([text], L.Items([(1, " ".join(words))])))
+        assert share == (60 - 60 // k) / 60
+    text = " ".join("foreign" if n % 3 == 2 else w for n, w in enumerate(words))
+    assert not list(L.search_shard([text], L.Items([(1, " ".join(words))])))
+
+
+def test_single_words_in_gaps_count():
+    assert L.covered([(0, 0), (6, 6)], 3, [1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 2, 3, 0, 5, 0, 7, 8, 9]) == {0, 1, 2, 4, 6, 7, 8}
+    assert L.covered([(0, 0)], 3, [1, 2, 3], [1, 2, 3]) == {0, 1, 2}
