@@ -1,7 +1,7 @@
 """The iterative rankings for more edges than one task may hold: each step is joins and group-bys over all edges.
 
-Only two or three sums a step come to the driver. The state (a row an item) is written to the checkpoint folder every step, so lineage
-stays short and a lost executor costs one step. Bradley-Terry updates all items at once here (Jacobi), so it takes more iterations than in
+Only two or three sums a step come to the driver. The state (a row an item) is written to the checkpoint folder every step and the one
+before deleted, so lineage stays short and a lost executor costs one step. Bradley-Terry updates all items at once here (Jacobi), so it takes more iterations than in
 `ranking`; if it converges within its limit it ends at the same strengths, else it raises.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotConvergedError
-from ..session import cut
-from .log import Log, edges, item_index
+from ..session import cut, discard
+from .log import Log, edges, first_places
 
 
 def both_ways(log: Log, win_weight: float, tie_weight: float) -> DataFrame:
@@ -27,7 +27,7 @@ def both_ways(log: Log, win_weight: float, tie_weight: float) -> DataFrame:
 
 
 def _start(log: Log, index: DataFrame | None, value: float | None) -> tuple[DataFrame, int]:
-    items = cut((item_index(log) if index is None else index).select("item"))
+    items = cut((first_places(log) if index is None else index).select("item"))
     n = items.count()
     return items.withColumn("p", F.lit(1.0 / max(n, 1) if value is None else value)), n
 
@@ -53,6 +53,7 @@ def bradley_terry(log: Log, index: DataFrame | None = None, win_weight: float =
         mean = raw.agg(F.avg(F.ln(F.when(F.col("p") > 0, F.col("p"))))).first()[0] or 0.0
         new = cut(raw.select("item", (F.col("p") / math.exp(mean)).alias("p")))
         near = _distance(new, state) < tolerance
+        discard(raw, *([state] if step > 1 else []))
         state = new
         if near:
             break
@@ -82,9 +83,10 @@ def newman(log: Log, index: DataFrame | None = None, v_init: float = 0.5, win_we
         new = cut(state.select("item").join(sums, "item", "left").select("item", F.coalesce(F.try_divide("won", "lost"), F.lit(tolerance)).alias("p"), "t", "w"))
         t, w = new.agg(F.sum("t"), F.sum("w")).first()
         following = (t or 0.0) / 2 / (2 * w) if w else tolerance
-        new = new.select("item", "p")
         near = _distance(new, state) < tolerance
-        state = new
+        if step > 1:
+            discard(kept)
+        state, kept = new.select("item", "p"), new
         if near:
             break
     return state.select("item", F.col("p").alias("score"), F.lit(float(v)).alias("v"), F.lit(step).alias("iterations"))
@@ -108,9 +110,11 @@ def eigen(log: Log, index: DataFrame | None = None, win_weight: float = 1.0, tie
             new = new.select("item", (damping * (F.col("p") + F.lit(stuck / n)) + F.lit((1 - damping) / n * total)).alias("p"))
         new = cut(new)
         norm = math.sqrt(new.agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0) or 1.0
-        new = new.select("item", (F.col("p") / norm).alias("p"))
-        near = _distance(new, state) < tolerance
-        state = new
+        scaled = new.select("item", (F.col("p") / norm).alias("p"))
+        near = _distance(scaled, state) < tolerance
+        if step > 1:
+            discard(kept)
+        state, kept = scaled, new
         if near:
             break
     if damping is not None and n:

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MissingColumnError, UnknownItemError
+from ..session import cut
+from .numbering import numbered
 
 DRAW, LEFT, RIGHT = 0, 1, 2
 #: spellings of outcomes; fixed values
@@ -41,6 +44,17 @@ class Log:
     def keys(self) -> list[str]:
         return list(self.by)
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(by..., left, right, l, r, t, n, first): of each left and right label the weight of wins of either and of draws, the comparisons, and the least `ord`.
+
+        Read from the log once, combined map-side, and kept in the checkpoint folder: edges, items and counts all come from it.
+        """
+        w = F.col("weight")
+        sums = (F.sum(F.when(F.col("winner") == code, w).otherwise(0.0)).alias(name) for code, name in ((LEFT, "l"), (RIGHT, "r"), (DRAW, "t")))
+        first = F.min("ord") if self.ordered else F.lit(0)
+        return cut(self.df.groupBy(*self.by, "left", "right").agg(*sums, F.count("*").alias("n"), first.alias("first")))
+
 
 def prepare(
     df: DataFrame, left: str = "left", right: str = "right", winner: str = "winner", weight: str | None = None, order: str | None = None, by: Sequence[str] = (), spellings: dict[str, int] | None = None
@@ -75,17 +89,19 @@ def without_ties(log: Log) -> Log:
     return Log(log.df.filter(F.col("winner") != DRAW), log.by, log.ordered)
 
 
+def first_places(log: Log) -> DataFrame:
+    """(by..., item, first): of each item its first appearance (side, order), all left sides before all right sides."""
+    sides = log.pairs.select(*log.by, F.inline(F.array(F.struct(F.col("left").alias("item"), F.lit(0).alias("side"), F.col("first").alias("at")), F.struct(F.col("right").alias("item"), F.lit(1).alias("side"), F.col("first").alias("at")))))
+    return sides.groupBy(*log.by, "item").agg(F.min(F.struct("side", "at")).alias("first"))
+
+
 def item_index(log: Log) -> DataFrame:
     """(by..., item, k): items numbered from 0 by first appearance, all left sides before all right sides.
 
-    Without an order column the numbers follow the labels. First appearances are combined map-side; numbering sees the items only.
+    Without an order column the numbers follow the labels. First appearances come from the pairs; numbering sees the items only.
     """
-    place = F.col("ord") if log.ordered else F.lit(0)
-    sides = log.df.select(*log.by, F.inline(F.array(F.struct(F.col("left").alias("item"), F.lit(0).alias("side"), place.alias("at")), F.struct(F.col("right").alias("item"), F.lit(1).alias("side"), place.alias("at")))))
-    first = sides.groupBy(*log.by, "item").agg(F.min(F.struct("side", "at")).alias("first"))
-    order = [F.col("first"), F.col("item")] if log.ordered else [F.col("item")]
-    window = (Window.partitionBy(*log.by) if log.by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return first.select(*log.by, "item", (F.row_number().over(window) - 1).alias("k"))
+    order = {"__first": F.col("first"), "__item": F.col("item")} if log.ordered else {"__item": F.col("item")}
+    return numbered(first_places(log), order, log.by).select(*log.by, "item", F.col("row").cast("int").alias("k"))
 
 
 def encode(log: Log, index: DataFrame) -> DataFrame:
@@ -111,11 +127,7 @@ def cells(log: Log) -> DataFrame:
 def edges(log: Log) -> DataFrame:
     """(by..., i, j, win, tie): weight of i beating j and of i and j drawing.
 
-    A draw counts for both directions, so a draw of an item with itself counts twice. One shuffle of combined rows.
+    A draw counts for both directions, so a draw of an item with itself counts twice. Made from the pairs.
     """
-    w = F.col("weight")
-    combined = log.df.groupBy(*log.by, "left", "right").agg(
-        *(F.sum(F.when(F.col("winner") == code, w).otherwise(0.0)).alias(name) for code, name in ((LEFT, "l"), (RIGHT, "r"), (DRAW, "t")))
-    )
-    both = combined.select(*log.by, F.inline(F.array(F.struct(F.col("left").alias("i"), F.col("right").alias("j"), F.col("l").alias("win"), F.col("t").alias("tie")), F.struct(F.col("right").alias("i"), F.col("left").alias("j"), F.col("r").alias("win"), F.col("t").alias("tie")))))
+    both = log.pairs.select(*log.by, F.inline(F.array(F.struct(F.col("left").alias("i"), F.col("right").alias("j"), F.col("l").alias("win"), F.col("t").alias("tie")), F.struct(F.col("right").alias("i"), F.col("left").alias("j"), F.col("r").alias("win"), F.col("t").alias("tie")))))
     return both.groupBy(*log.by, "i", "j").agg(F.sum("win").alias("win"), F.sum("tie").alias("tie"))

@@ -9,18 +9,10 @@ from pyspark.sql import functions as F
 
 from ..errors import ScoreShapeError
 from ..functions.ieee import divide, nan_to_num
+from ..session import cut
 from .log import Log, edges, item_index
 
 
-def _same(by: Sequence[str], a: str, b: str, **pairs: str):
-    out = F.lit(True)
-    for c in by:
-        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    for x, y in pairs.items():
-        out = out & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
-    return out
-
-
 def win_tie_grid(log: Log, index: DataFrame | None = None) -> DataFrame:
     """(by..., i, j, win, tie) for every pair of items of the index, with zeros: K x K rows by definition of the result."""
     index = item_index(log) if index is None else index
@@ -37,7 +29,7 @@ def combined(log: Log, win_weight: float = 1.0, tie_weight: float = 0.5, fill: f
 
 def win_fractions(log: Log, win_weight: float = 1.0, tie_weight: float = 0.0) -> DataFrame:
     """(by..., i, j, fraction): what i won of what either won against the other, for pairs with anything to divide."""
-    a = combined(log, win_weight, tie_weight)
+    a = cut(combined(log, win_weight, tie_weight))
     back = a.select(*log.by, F.col("i").alias("j"), F.col("j").alias("i"), F.col("a").alias("b"))
     both = a.join(back, [*log.by, "i", "j"], "left")
     return both.select(*log.by, "i", "j", F.try_divide("a", F.col("a") + F.coalesce("b", F.lit(0.0))).alias("fraction")).filter("fraction is not null")

@@ -7,17 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .log import Log
+from .numbering import ONE_TASK, numbered
 
 
 def pair_counts(log: Log) -> DataFrame:
     """(by..., item, pairs): appearances on either side; an item against itself appears twice."""
-    return log.df.select(*log.by, F.explode(F.array("left", "right")).alias("item")).groupBy(*log.by, "item").agg(F.count("*").alias("pairs"))
+    return log.pairs.select(*log.by, "n", F.explode(F.array("left", "right")).alias("item")).groupBy(*log.by, "item").agg(F.sum("n").alias("pairs"))
 
 
-def with_rank(scores: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
-    """`rank`: 1 for the highest; equal scores share the mean of their ranks, cut to a whole number; NaN and null come last."""
+def with_rank(scores: DataFrame, by: Sequence[str] = (), score: str = "score", one_task: int = ONE_TASK) -> DataFrame:
+    """`rank`: 1 for the highest; equal scores share the mean of their ranks, cut to a whole number; NaN and null come last.
+
+    Without `by`, more than `one_task` rows (counted) are ranked in sorted ranges.
+    """
     known = F.when(~F.isnan(score), F.col(score))
+    if not by:
+        scores = cut(scores)
+        if scores.count() > one_task:
+            rows = numbered(scores, {"__lost": known.isNull(), "__down": -known}, (), one_task)
+            ties = rows.groupBy(known.alias("__known")).agg(F.floor((F.min("row") + F.max("row")) / 2 + 1).cast("int").alias("rank"))
+            return rows.join(ties, known.eqNullSafe(F.col("__known"))).select(*scores.columns, "rank")
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     ordered = window.orderBy(known.desc_nulls_last())
     same = Window.partitionBy(*by, known)
@@ -31,8 +42,12 @@ def leaderboard(log: Log, scores: DataFrame) -> DataFrame:
 
 
 def ends(board: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
-    """The first and last n of a leaderboard, each once; equal scores in order of item."""
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    """The first and last n of a leaderboard of different items, each once; equal scores in order of item."""
+    if not by:
+        board = cut(board)
+        both = board.orderBy(F.desc("score"), "item").limit(n).unionAll(board.orderBy("score", F.desc("item")).limit(n))
+        return both.dropDuplicates(["item"])
+    window = Window.partitionBy(*by)
     best, worst = window.orderBy(F.desc("score"), "item"), window.orderBy("score", F.desc("item"))
     return board.withColumns({"__a": F.row_number().over(best), "__b": F.row_number().over(worst)}).filter((F.col("__a") <= n) | (F.col("__b") <= n)).drop("__a", "__b")
 
@@ -60,4 +75,4 @@ def median_order(distribution: DataFrame) -> DataFrame:
     """(item, median, low, high, place): items by the median of their resamples, with their 95 % interval, for error bars."""
     p = F.percentile("score", F.array(*map(F.lit, (0.025, 0.5, 0.975))))
     told = distribution.groupBy("item").agg(p.alias("p")).select("item", F.col("p")[1].alias("median"), F.col("p")[0].alias("low"), F.col("p")[2].alias("high"))
-    return told.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("median"), "item")))
+    return numbered(told, {"__down": -F.col("median"), "__item": F.col("item")}).select("item", "median", "low", "high", (F.col("row") + 1).cast("int").alias("place"))

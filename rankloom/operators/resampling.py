@@ -22,6 +22,7 @@ from ..session import cut
 from . import kernels, ranking
 from . import reliability as rel
 from .log import DRAW, LEFT, Log, cells, item_index
+from .numbering import row_numbers
 
 MAX_CELLS = 1_000_000
 MAX_COUNTED = 200
@@ -115,19 +116,6 @@ def resampled_log(log: Log, n_resamples: int, seed: int = 0) -> Log:
     return Log(rows, ("resample",), True)
 
 
-def row_numbers(df: DataFrame, *order: str) -> DataFrame:
-    """`df` with `row` from 0 in the given order, without a single-task window: sorted ranges, and the number of rows before each."""
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order, *(c for c in df.columns if c not in order)).withColumn("__m", F.monotonically_increasing_id()))
-    part = F.shiftright("__m", 33).cast("int")
-    sizes = sorted((r.p, r.n) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, before))
-        before += n
-    starts = df.sparkSession.createDataFrame(rows, "__p int, __before bigint")
-    return ranged.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn("row", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__before")
-
-
 def sample_rows(df: DataFrame, order: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """(d, ...): exactly n rows drawn with replacement, reproducibly; an empty table gives none."""
     numbered = cut(row_numbers(df, *order))

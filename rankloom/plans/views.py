@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.notation import code_of
+from ..functions.notation import FROM, TO, code_of
 from ..operators.log import Log, prepare, winner_code
 from ..operators.reliability import ratings
 from ..operators.skew import label_key
@@ -34,16 +34,18 @@ def brand_log(spark: SparkSession, sf_dir: str) -> Log:
 def food_log(spark: SparkSession, sf_dir: str) -> Log:
     """The log of dishes: each number once, labels without letter case and outer blanks, valid outcomes only, unusable weights as 1.
 
-    Deliveries of a number agree in all but the time, so the labels may be part of the key, which leaves fixed-width values to aggregate by hash.
+    Nearly every number is different, so combining before the shuffle would only cost: rows go to their number's partition as they are, and labels are
+    cleaned and repeated deliveries told apart there. Of deliveries that differ, the least in (labels, outcome, weight) counts.
     """
+    rows = table(spark, sf_dir, "food").select("ord", "left", "right", "winner", "weight").repartition("ord")
     code = winner_code(F.btrim("winner", F.lit(" \t")))
-    rows = table(spark, sf_dir, "food").select("ord", label_key("left").alias("left"), label_key("right").alias("right"), code.alias("winner"), F.when(F.isnan("weight"), 1.0).otherwise(F.coalesce("weight", F.lit(1.0))).alias("w"))
-    once = rows.filter("winner is not null").groupBy("ord", "left", "right").agg(F.first("winner").alias("winner"), F.first("w").alias("w"))
+    clean = rows.select("ord", label_key("left").alias("left"), label_key("right").alias("right"), code.alias("winner"), F.when(F.isnan("weight"), 1.0).otherwise(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    once = clean.filter("winner is not null").groupBy("ord").agg(F.min(F.struct("left", "right", "winner", "w")).alias("r")).select("ord", "r.*")
     return prepare(once, weight="w", order="ord")
 
 
 def coding_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes 1 to 5 in any notation, as digits, of the latest sheet of each rater; a unit is a cell of a sheet. The SQL reads plain digits only."""
+    """Codes 1 to 5 in any notation, as digits, of the latest sheet of each rater; a unit is a cell of a sheet."""
     w = Window.partitionBy("sheet_id", "rater").orderBy(F.desc("coded_at"), F.desc("received_at"))
     last = table(spark, sf_dir, "codings").withColumn("n", F.row_number().over(w)).filter("n = 1")
     cells = [f"c{k}" for k in range(12)]
@@ -71,7 +73,12 @@ FOOD = f"""
  log AS (SELECT {_TRIM.format('"left"')} AS "left", {_TRIM.format('"right"')} AS "right", CASE {_TRIM.format('winner')} WHEN 'left' THEN 1 WHEN 'right' THEN 2 ELSE 0 END AS winner,
    CASE WHEN weight IS NULL OR isnan(weight) THEN 1.0 ELSE weight END AS weight, ord
   FROM (SELECT DISTINCT ON (ord) * FROM food) WHERE {_TRIM.format('winner')} IN ('left', 'right', 'tie') AND "left" IS NOT NULL AND "right" IS NOT NULL)"""
-CODINGS = """
+#: a code in any notation, of a column v: a whole number that is alone, or in round or square brackets
+_READ = "translate(v, '" + FROM + "', '" + TO + "')"
+_NUMBER = "[+]?0*([1-5])(?:[.,]0*)?"
+CODE = "try_cast(coalesce(" + ", ".join(f"nullif(regexp_extract({_READ}, '^\\s*{shape.format(_NUMBER)}\\s*$', 1), '')" for shape in ("{0}", "[(]\\s*{0}\\s*[)]", "\\[\\s*{0}\\s*\\]")) + ") AS BIGINT)"
+CODINGS = f"""
  last AS (SELECT DISTINCT ON (sheet_id, rater) * FROM codings ORDER BY sheet_id, rater, coded_at DESC, received_at DESC),
- rated AS (SELECT sheet_id || ':' || cell AS unit, rater, value FROM (UNPIVOT last ON c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11 INTO NAME cell VALUE value) WHERE regexp_full_match(value, '[1-5]'))"""
+ rated AS (SELECT sheet_id || ':' || cell AS unit, rater, cast(code AS VARCHAR) AS value FROM
+  (SELECT *, {CODE} AS code FROM (UNPIVOT last ON c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11 INTO NAME cell VALUE v)) WHERE code IS NOT NULL)"""
 ORDERS = " rated AS (SELECT l_orderkey AS unit, l_linenumber AS rater, cast({0} AS VARCHAR) AS value FROM lineitem WHERE {0} IS NOT NULL)"

@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
+    """Use the folder named by spark.checkpoint.dir; where that is unset, a temporary one on a single machine, and nothing on a cluster, which needs a shared one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankloom-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(*done: DataFrame) -> None:
+    """Delete the files of frames that `cut` returned and nothing will read again, so that iterations do not pile them up."""
+    for df in done:
+        where = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if where.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def task_count(spark: SparkSession) -> int:
     """Number of tasks that wide stages are planned for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
