@@ -38,3 +38,22 @@ def numbered(df: DataFrame, order: dict[str, Column], by: Sequence[str] = (), on
             return row_numbers(df, *order).drop(*order)
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return df.withColumn("row", F.row_number().over(window.orderBy(*order)) - 1).drop(*order)
+
+
+def running_sums(df: DataFrame, order: dict[str, Column], value: str, one_task: int = ONE_TASK) -> DataFrame:
+    """`df` with `before`: the sum of `value` over the rows before, in ascending order of the expressions in `order`, which must differ between rows.
+
+    More than `one_task` rows (counted) are summed up in ranges.
+    """
+    df = cut(df.withColumns(order))
+    until = lambda w: F.coalesce(F.sum(value).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if df.count() <= one_task:
+        return df.withColumn("before", until(Window.partitionBy(F.lit(0)))).drop(*order)
+    ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    total, rows = 0.0, []
+    firsts = {r["__p"]: r["s"] for r in ranged.groupBy("__p").agg(F.sum(value).cast("double").alias("s")).collect()}
+    for p in sorted(firsts):
+        rows.append((p, total))
+        total += firsts[p] or 0.0
+    starts = df.sparkSession.createDataFrame(rows, "__p int, __start double")
+    return ranged.withColumn("before", until(Window.partitionBy("__p"))).join(F.broadcast(starts), "__p").withColumn("before", F.col("before") + F.col("__start")).drop("__p", "__start", *order)

@@ -193,14 +193,14 @@ def bootstrap(
     return both.groupBy("item").cogroup(left_out.groupBy("item")).applyInPandas(levels, "item string, score double, low double, high double, stderr double")
 
 
-def pair_errors(rated: DataFrame, distance: str | rel.Distance = "nominal") -> tuple[pd.DataFrame, pd.DataFrame, dict[str, float]]:
+def pair_errors(rated: DataFrame, distance: str | rel.Distance = "nominal", max_values: int = rel.MAX_VALUES) -> tuple[pd.DataFrame, pd.DataFrame, dict[str, float]]:
     """Bounded summaries for the bootstrap of alpha: pooled pair errors (error, n) by pair of values, units by number of ratings (m, units), and alpha.
 
     The pairs of values are at most max_values squared / 2, whatever the number of units.
     """
     counts = cut(rel.unit_counts(rated))
     co = cut(rel.coincidence(counts))
-    pairs = cut(rel.expected_pairs(rel.marginals(co, rel.factorize(counts)), distance))
+    pairs = cut(rel.expected_pairs(rel.marginals(counts, rel.factorize(counts)), distance, max_values))
     a, b = counts.select("unit", F.col("value").alias("c"), F.col("n").alias("nc")), counts.select("unit", F.col("value").alias("k"), F.col("n").alias("nk"))
     same = F.col("c") == F.col("k")
     n = F.when(same, F.col("nc") * (F.col("nc") - 1) / 2).otherwise(F.col("nc") * F.col("nk"))

@@ -282,7 +282,7 @@ def coincidence(s: SparkSession, d: str) -> DataFrame:
 @query(f"{views.CODINGS}, {sql.ALPHA.format(delta='1.0')} SELECT c, k, round(e, 4) AS e FROM pairs")
 def expected_matrix(s: SparkSession, d: str) -> DataFrame:
     counts = reliability.unit_counts(_rated(s, d))
-    return reliability.expected_pairs(reliability.marginals(reliability.coincidence(counts), reliability.factorize(counts))).select("c", "k", F.round("e", 4).alias("e"))
+    return reliability.expected_pairs(reliability.marginals(counts, reliability.factorize(counts))).select("c", "k", F.round("e", 4).alias("e"))
 
 
 def _alpha_queries() -> None:

@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import rankloom as R
+from rankloom.errors import TooLargeError
+from rankloom.operators import numbering
 from rankloom.operators import reliability as rel
 from rankloom.operators import report, resampling
 
@@ -107,3 +110,28 @@ def test_report_and_histogram(spark):
     assert [r["n"] for r in bins] == [2, 2, 2, 2, 3]
     assert [r["n"] for r in report.histogram(spark.createDataFrame([(3.0,)] * 2, "v double"), "v").collect()] == [2]
     assert report.histogram(values.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("distance", ["nominal", "ordinal", "interval"])
+def test_sums_equal_pairs_of_values(spark, distance):
+    """The sums of squares against the same distance over pairs, with units of many ratings, repeated values and ties; and with texts."""
+    rng = np.random.default_rng(3)
+    for values in (["1", "2", "3.5", "10", "-4"], ["a", "b", "bb", "c"]):
+        rows = [(int(u), int(r), str(rng.choice(values))) for u in range(60) for r in range(rng.integers(1, 9))]
+        data = rel.ratings(spark.createDataFrame(rows, "unit int, rater int, value string"))
+        counts = rel.cut(rel.unit_counts(data))
+        pairs = rel.expected_pairs(rel.marginals(counts, rel.factorize(counts)), distance).join(rel.coincidence(counts), ["c", "k"], "left").fillna(0.0)
+        told = pairs.agg(F.sum(F.col("o") * F.col("delta")), F.sum(F.col("e") * F.col("delta"))).first()
+        assert rel.square_sums(counts, distance) == pytest.approx(tuple(told), rel=1e-9)
+
+
+def test_many_different_values(spark, monkeypatch):
+    """100,000 different values in 150,000 units: no pairs of values; in ranges and by fragment and replicate where they are too many for one task or to send."""
+    data = rel.ratings(spark.range(300_000).select(F.expr("id div 2").alias("unit"), F.col("id").alias("rater"), ((F.col("id") * 7919) % 100_003).alias("value")))
+    whole = {d: tuple(rel.alpha(data, d).first()) for d in ("nominal", "ordinal")}
+    assert whole["nominal"][0] == pytest.approx(0, abs=0.01)
+    monkeypatch.setattr(rel, "MAX_SENT", 10)
+    monkeypatch.setattr(numbering.running_sums, "__defaults__", (1000,))
+    assert tuple(rel.alpha(data, "ordinal").first()) == pytest.approx(whole["ordinal"], rel=1e-9)
+    with pytest.raises(TooLargeError):
+        rel.alpha(data, "ratio")
