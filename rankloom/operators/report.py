@@ -76,3 +76,15 @@ def median_order(distribution: DataFrame) -> DataFrame:
     p = F.percentile("score", F.array(*map(F.lit, (0.025, 0.5, 0.975))))
     told = distribution.groupBy("item").agg(p.alias("p")).select("item", F.col("p")[1].alias("median"), F.col("p")[0].alias("low"), F.col("p")[2].alias("high"))
     return numbered(told, {"__down": -F.col("median"), "__item": F.col("item")}).select("item", "median", "low", "high", (F.col("row") + 1).cast("int").alias("place"))
+
+
+def box_frame(distribution: DataFrame) -> DataFrame:
+    """(item, least, q1, median, q3, most): a box plot of each item's resamples."""
+    p = F.percentile("score", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
+    told = distribution.groupBy("item").agg(p.alias("p"))
+    return told.select("item", *(F.col("p")[k].alias(n) for k, n in enumerate(("least", "q1", "median", "q3", "most"))))
+
+
+def scatter_frame(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(item, x, y): the scores of two methods against each other, for items that have both."""
+    return a.select("item", F.col("score").alias("x")).join(b.select("item", F.col("score").alias("y")), "item")

@@ -3,7 +3,8 @@
 A resample of a log influences the order-free methods only through how often each different comparison (left, right, winner, weight) was
 drawn, and those counts are multinomial. So the log is reduced once to its cells, and each resample is a draw of counts and a
 solution over K x K edges, in parallel over resamples: the cost does not depend on the length of the log. The cells go to every task;
-their number is checked against `max_cells`. Elo depends on order: there the drawn rows themselves are taken in the order drawn.
+their number is checked against `max_cells`. Elo depends on order, and of any other callable nothing is known: there the drawn rows
+themselves are taken in the order drawn, all resamples as one log of as many leaderboards.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from ..functions.hashing import hash_draw, hash_number
 from ..session import cut
 from . import kernels, ranking
 from . import reliability as rel
-from .log import DRAW, LEFT, Log, cells, item_index
+from .log import DRAW, LEFT, Log, cells, first_places, item_index
 from .numbering import row_numbers
 
 MAX_CELLS = 1_000_000
+#: rows that are left out one by one, which copies the log as often
+MAX_LEFT_OUT = 10_000
+#: a ranking of a Log: (log, **options) -> (by..., item, score)
+Method = Callable[..., DataFrame]
 MAX_COUNTED = 200
 
 
@@ -82,14 +87,18 @@ def _collect(log: Log, index: DataFrame | None, max_cells: int) -> tuple[pd.Data
 
 
 def distribution(
-    log: Log, method: str, index: DataFrame | None = None, n_resamples: int = 1000, seed: int = 0, win_weight: float = 1.0, tie_weight: float = 0.5, draws: str = "multinomial", max_cells: int = MAX_CELLS, **options: float
+    log: Log, method: str | Method, index: DataFrame | None = None, n_resamples: int = 1000, seed: int = 0, win_weight: float = 1.0, tie_weight: float = 0.5, draws: str = "multinomial", max_cells: int = MAX_CELLS, **options: float
 ) -> DataFrame:
-    """(resample, item, score) with resample from 0; every item of the index in each."""
-    if method == "elo":
-        drawn = resampled_log(log, n_resamples, seed)
-        scores = ranking.elo(drawn, win_weight=win_weight, tie_weight=tie_weight, **options)
-        every = log.df.sparkSession.range(n_resamples).withColumnRenamed("id", "resample").join((item_index(log) if index is None else index).select("item"))
-        return every.join(scores, ["resample", "item"], "left").fillna(options.get("initial", 1000.0), ["score"])
+    """(resample, item, score) with resample from 0; every item of the index in each.
+
+    `method` is a named one or any callable of a Log by `resample` that gives (resample, item, score), as those of `ranking` do; it is given the drawn
+    rows in the order drawn, as Elo is. An item it gives no score has that of `missing` (0; for Elo, where it began).
+    """
+    if callable(method) or method == "elo":
+        missing = options.pop("missing", options.get("initial", 1000.0) if method == "elo" else 0.0)
+        scores = _run(method, resampled_log(log, n_resamples, seed), win_weight, tie_weight, options)
+        every = log.df.sparkSession.range(n_resamples).withColumnRenamed("id", "resample").join(F.broadcast(_items(log, index, max_cells)))
+        return every.join(scores, ["resample", "item"], "left").fillna(missing, ["score"])
     rows, items = _collect(log, index, max_cells)
     kernel = _kernel(method, win_weight, tie_weight, options)
 
@@ -103,6 +112,20 @@ def distribution(
     return spark.range(0, n_resamples, numPartitions=min(n_resamples, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "resample bigint, item string, score double")
 
 
+def _run(method: str | Method, log: Log, win_weight: float, tie_weight: float, options: dict) -> DataFrame:
+    """(by..., item, score) of a method that goes over rows."""
+    call = method if callable(method) else ranking.METHODS[method]
+    return call(log, win_weight=win_weight, tie_weight=tie_weight, **options).select(*log.by, "item", "score")
+
+
+def _items(log: Log, index: DataFrame | None, most: int) -> DataFrame:
+    """The items of the index or the log; more than `most` (counted) are refused, as each resample has them all."""
+    items = cut((first_places(log) if index is None else index).select("item"))
+    if items.count() > most:
+        raise TooLargeError(f"more than {most} items")
+    return items
+
+
 def resampled_log(log: Log, n_resamples: int, seed: int = 0) -> Log:
     """Rows drawn with replacement, as many as there are, once a resample: a log by `resample` in the order drawn."""
     numbered = cut(row_numbers(log.df, "ord") if log.ordered else row_numbers(log.df, "left", "right", "winner", "weight"))
@@ -151,39 +174,74 @@ def _bca_levels(distribution_: np.ndarray, estimate: float, jackknife: np.ndarra
     return out[0], out[1]
 
 
+def without_each(log: Log, groups: int | None, max_rows: int = MAX_LEFT_OUT) -> tuple[Log, int]:
+    """The log once without each row or, with `groups`, without each of so many shares of rows: a log by `resample`, and how many there are.
+
+    That is rows x rows, so more than `max_rows` rows (counted) need `groups`.
+    """
+    numbered = cut(row_numbers(log.df, "ord") if log.ordered else row_numbers(log.df, "left", "right", "winner", "weight"))
+    n = numbered.count()
+    if n < 2:
+        raise ValueError("a bootstrap needs at least two comparisons")
+    if groups is None and n > max_rows:
+        raise TooLargeError(f"leaving out each of {n} rows; the bound is {max_rows}: give jackknife_groups")
+    times = min(n, groups or n)
+    left_out = F.pmod(F.col("row"), F.lit(times)).cast("int")
+    copies = numbered.drop("ord").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).filter(F.col("resample") != left_out)
+    rows = copies.select(F.col("resample").cast("bigint").alias("resample"), "left", "right", "winner", "weight", F.col("row").alias("ord"))
+    return Log(rows, ("resample",), True), times
+
+
 def bootstrap(
-    log: Log, method: str, index: DataFrame | None = None, n_resamples: int = 1000, confidence: float = 0.95, kind: str = "bca", seed: int = 0, win_weight: float = 1.0, tie_weight: float = 0.5, draws: str = "multinomial", max_cells: int = MAX_CELLS, **options: float
+    log: Log, method: str | Method, index: DataFrame | None = None, n_resamples: int = 1000, confidence: float = 0.95, kind: str = "bca", seed: int = 0, win_weight: float = 1.0, tie_weight: float = 0.5, draws: str = "multinomial", max_cells: int = MAX_CELLS, jackknife_groups: int | None = None, **options: float
 ) -> DataFrame:
     """(item, score, low, high, stderr): point estimate and interval of each item.
 
-    `kind`: percentile, basic (reflected about the estimate) or bca. The jackknife of bca leaves out each different comparison once and counts
-    it as often as it occurs. Elo has percentile and basic intervals only. Fewer than two comparisons raise ValueError.
+    `method` is the name of a ranking or any callable of a Log and keywords that gives (by..., item, score), see `distribution`. `kind`: percentile,
+    basic (reflected about the estimate) or bca. The jackknife of bca leaves out each comparison; named methods other than Elo leave out each different one
+    once and count it as often as it occurs, Elo and callables leave out each row, or each of `jackknife_groups` shares of rows, which a
+    log of more than `MAX_LEFT_OUT` rows needs. Fewer than two comparisons raise ValueError.
     """
-    if kind not in ("percentile", "basic", "bca") or (kind == "bca" and method == "elo"):
-        raise ValueError(f"no {kind} interval for {method}")
-    estimate = ranking.METHODS[method](log, index if index is not None else item_index(log), win_weight=win_weight, tie_weight=tie_weight, **options).select("item", "score")
+    if kind not in ("percentile", "basic", "bca"):
+        raise ValueError(f"no {kind} interval")
+    over_rows = callable(method) or method == "elo"
+    options = dict(options)
+    missing = options.get("missing", options.get("initial", 1000.0) if method == "elo" else 0.0)
+    if over_rows:
+        called = {k: v for k, v in options.items() if k != "missing"}
+        items = _items(log, index, max_cells)
+        estimate = cut(items.join(_run(method, log, win_weight, tie_weight, called), "item", "left").fillna(missing, ["score"]))
+    else:
+        estimate = ranking.METHODS[method](log, index if index is not None else item_index(log), win_weight=win_weight, tie_weight=tie_weight, **options).select("item", "score")
     drawn = distribution(log, method, index, n_resamples, seed, win_weight, tie_weight, draws, max_cells, **options)
     if kind != "bca":
         out = estimate.join(quantiles(drawn, confidence), "item")
         if kind == "percentile":
             return out
         return out.select("item", "score", (2 * F.col("score") - F.col("high")).alias("low"), (2 * F.col("score") - F.col("low")).alias("high"), "stderr")
-    rows, items = _collect(log, index, max_cells)
-    kernel, spark = _kernel(method, win_weight, tie_weight, options), log.df.sparkSession
+    spark = log.df.sparkSession
     drawn = cut(drawn)
-
-    def leave_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log_cells = CellLog(rows, items, kernel)
-        for pdf in frames:
-            for g in pdf["id"]:
-                counts = log_cells.n.copy()
-                counts[g] -= 1
-                yield pd.DataFrame({"item": items, "score": log_cells.scores(counts), "times": log_cells.n[g]})
-
-    left_out = spark.range(0, len(rows), numPartitions=min(len(rows), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(leave_out, "item string, score double, times bigint")
+    if over_rows:
+        copies, times = without_each(log, jackknife_groups)
+        scores = _run(method, copies, win_weight, tie_weight, called)
+        every = spark.range(times).withColumnRenamed("id", "resample").join(F.broadcast(items))
+        left_out = cut(every.join(scores, ["resample", "item"], "left").fillna(missing, ["score"]).select("item", "score", F.lit(1).cast("bigint").alias("times")))
+    else:
+        rows, names = _collect(log, index, max_cells)
+        kernel = _kernel(method, win_weight, tie_weight, options)
+
+        def leave_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            log_cells = CellLog(rows, names, kernel)
+            for pdf in frames:
+                for g in pdf["id"]:
+                    counts = log_cells.n.copy()
+                    counts[g] -= 1
+                    yield pd.DataFrame({"item": names, "score": log_cells.scores(counts), "times": log_cells.n[g]})
+
+        left_out = spark.range(0, len(rows), numPartitions=min(len(rows), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(leave_out, "item string, score double, times bigint")
 
     def levels(key: tuple, one: pd.DataFrame, jack: pd.DataFrame) -> pd.DataFrame:
-        """`one` holds the resamples with the estimate, at most n_resamples rows; `jack` at most a row a cell."""
+        """`one` holds the resamples with the estimate, at most n_resamples rows; `jack` at most a row a cell, row or group left out."""
         values = one["score"].to_numpy()
         low, high = _bca_levels(values, one["estimate"].iloc[0], jack["score"].to_numpy(), jack["times"].to_numpy(), confidence)
         bounds = np.quantile(values, [low, high]) if low == low else (np.nan, np.nan)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import log as lg
 from ..operators import distributed, matrices, ranking, reliability, report, resampling
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import io
 from ..streaming import live
 from . import solver_sql as sql
@@ -33,6 +33,7 @@ def scored(df: DataFrame, places: int = 6, by: Sequence[str] = ()) -> DataFrame:
     return df.select(*by, "item", F.round("score", places).alias("score"))
 
 
+_CELLS = ", ".join(f"c{k}" for k in range(12))
 E, W, B, D = views.EVENTS, views.EVENTS_WEIGHTED, views.BRANDS, views.FOOD
 _SCORE = "SELECT item, round(score, 6) AS score FROM "
 
@@ -155,7 +156,7 @@ def eigen_food(s: SparkSession, d: str) -> DataFrame:
     return scored(ranking.eigen(views.food_log(s, d)))
 
 
-@query()
+@query(f"{D}, {sql.BY_ORDER}, {sql.bradley_terry()}")
 def bradley_terry_food(s: SparkSession, d: str) -> DataFrame:
     return scored(ranking.bradley_terry(views.food_log(s, d)))
 
@@ -199,7 +200,7 @@ def elo_by_group(s: SparkSession, d: str) -> DataFrame:
     return scored(ranking.elo(views.events_log(s, d, by=("grp",))), by=["grp"])
 
 
-@query()
+@query(f"{D}, {sql.BY_ORDER}, {sql.elo()} {_SCORE} elo_scores")
 def elo_food(s: SparkSession, d: str) -> DataFrame:
     return scored(ranking.elo(views.food_log(s, d)))
 
@@ -390,7 +391,34 @@ def bootstrap_bca(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_elo(s: SparkSession, d: str) -> DataFrame:
-    return resampling.bootstrap(views.events_log(s, d), "elo", n_resamples=5, kind="percentile")
+    """The default interval, with 40 resamples and the rows left out in 40 shares."""
+    return resampling.bootstrap(views.events_log(s, d), "elo", n_resamples=40, jackknife_groups=40)
+
+
+def _strength(log: lg.Log, win_weight: float = 1.0, tie_weight: float = 0.5, **_: object) -> DataFrame:
+    """A ranking of a user's own: the share of points in comparisons, (by..., item, score)."""
+    points = ranking.counting(log, None, win_weight, tie_weight).join(report.pair_counts(log), [*log.by, "item"])
+    return points.select(*log.by, "item", (F.col("score") / F.col("pairs")).alias("score"))
+
+
+_OWN = f"""{E},
+ num AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS row, count(*) OVER () AS total FROM log),
+ dr AS (SELECT r, (concat('0x', substr(md5('9:' || r || ':' || d), 1, 8))::BIGINT) % total AS row FROM range(20) t1(r), (SELECT any_value(total) AS total FROM num), range(total::BIGINT) t2(d)),
+ boot AS (SELECT r, item, sum(s) / count(*) AS score FROM
+  (SELECT r, unnest([{{'item': "left", 's': CASE winner WHEN 1 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END}}, {{'item': "right", 's': CASE winner WHEN 2 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END}}], recursive := true) FROM dr JOIN num USING (row)) GROUP BY r, item),
+ est AS (SELECT item, sum(s) / count(*) AS score FROM (SELECT "left" AS item, CASE winner WHEN 1 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END AS s FROM log UNION ALL SELECT "right", CASE winner WHEN 2 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END FROM log) GROUP BY item)"""
+
+
+@query(f"{_OWN} SELECT item, round(any_value(est.score), 6) AS score, round(quantile_cont(boot.score, 0.025), 6) AS low, round(quantile_cont(boot.score, 0.975), 6) AS high, round(stddev_samp(boot.score), 6) AS stderr FROM boot JOIN est USING (item) GROUP BY item")
+def bootstrap_own_method(s: SparkSession, d: str) -> DataFrame:
+    """Any callable of a log is a method; 20 resamples, which the SQL repeats."""
+    out = resampling.bootstrap(views.events_log(s, d), _strength, n_resamples=20, kind="percentile", seed=9)
+    return out.select("item", *(F.round(c, 6).alias(c) for c in ("score", "low", "high", "stderr")))
+
+
+@query()
+def bootstrap_own_bca(s: SparkSession, d: str) -> DataFrame:
+    return resampling.bootstrap(views.events_log(s, d), _strength, n_resamples=20, jackknife_groups=20, seed=9)
 
 
 _NUMBERED = "num AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS row, count(*) OVER () AS total FROM log)"
@@ -401,9 +429,9 @@ def sample_with_replacement(s: SparkSession, d: str) -> DataFrame:
     return resampling.sample_rows(views.events_log(s, d).df, ["ord"], 1000, seed=5)
 
 
-@query("x AS (UNPIVOT (SELECT sheet_id, c0, c1, c2 FROM codings) ON c0, c1, c2 INTO NAME cell VALUE value) SELECT cell, value, count(*) AS n FROM x GROUP BY ALL")
+@query(f"x AS (UNPIVOT (SELECT sheet_id, {_CELLS} FROM codings) ON {_CELLS} INTO NAME cell VALUE value) SELECT cell, value, count(*) AS n FROM x GROUP BY ALL")
 def ratings_unpivot(s: SparkSession, d: str) -> DataFrame:
-    wide = table(s, d, "codings").select("sheet_id", "c0", "c1", "c2")
+    wide = table(s, d, "codings").select("sheet_id", *(f"c{k}" for k in range(12)))
     return io.melt_ratings(wide, "sheet_id").groupBy(F.concat(F.lit("c"), F.col("unit")).alias("cell"), "value").agg(F.count("*").alias("n"))
 
 
@@ -462,3 +490,59 @@ def distributed_pagerank(s: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["distributed_pagerank"] = ORACLES["pagerank"]
+
+
+@query("x AS (SELECT nullif(\"left\", '') AS \"left\", nullif(\"right\", '') AS \"right\", nullif(winner, '') AS winner FROM food) SELECT \"left\", \"right\", winner, count(*) AS n FROM x GROUP BY ALL")
+def io_comparisons_csv(s: SparkSession, d: str) -> DataFrame:
+    """The log written as CSV and read again: labels with commas, quotes and blanks come back as they were, an empty field as a missing one."""
+    path = shared_folder(s, "comparisons")
+    io.write_csv(table(s, d, "food").select("left", "right", "winner"), path)
+    return io.read_comparisons_csv(s, path).groupBy("left", "right", "winner").agg(F.count("*").alias("n"))
+
+
+@query(f"x AS (UNPIVOT (SELECT {_CELLS} FROM codings) ON {_CELLS} INTO NAME cell VALUE value) SELECT cast(substr(cell, 2) AS INT) AS unit, value, count(*) AS n FROM x WHERE value <> '' GROUP BY ALL")
+def io_ratings_csv(s: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(s, "ratings")
+    table(s, d, "codings").select(*(f"c{k}" for k in range(12))).write.csv(path, header=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.read_ratings_csv(s, path).groupBy("unit", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"{E}, {sql.COUNTING} SELECT item, round(score, 6) AS score, floor(rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2.0)::INT AS rank FROM counted")
+def io_scores_csv(s: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(s, "scores")
+    io.write_csv(report.with_rank(ranking.counting(views.events_log(s, d))), path)
+    return s.read.schema("item string, score double, rank int").csv(path, header=True, escape='"').withColumn("score", F.round("score", 6))
+
+
+_ARENA = """
+ log AS (SELECT "left", "right", CASE lower(winner) WHEN 'left' THEN 1 WHEN 'right' THEN 2 ELSE 0 END AS winner, 1.0::DOUBLE AS weight FROM food
+  WHERE lower(winner) IN ('left', 'right', 'tie') AND ord % 3 > 0 AND ord % 2 = 0 AND "left" IS NOT NULL AND "right" IS NOT NULL)"""
+
+
+@query(f"{_ARENA}, {sql.COUNTING} {_SCORE} counted")
+def io_arena_json(s: SparkSession, d: str) -> DataFrame:
+    """The log written as dumps of battles, 5,000 numbers each, a third not anonymous and half of them repeated; what is read counts."""
+    path, winner = shared_folder(s, "arena"), F.lower("winner")
+    spelled = F.when(winner == "left", "model_a").when(winner == "right", "model_b").when(winner == "tie", F.when(F.col("ord") % 4 == 0, "tie").otherwise("tie (bothbad)"))
+    battle = F.struct(F.col("left").alias("model_a"), F.col("right").alias("model_b"), spelled.alias("winner"), (F.col("ord") % 3 > 0).alias("anony"), F.struct((F.col("ord") % 2 == 0).alias("sampled")).alias("dedup_tag"), F.col("ord").cast("double").alias("tstamp"))
+    dumps = table(s, d, "food").groupBy(F.floor(F.col("ord") / 5000).alias("part")).agg(F.collect_list(battle).alias("b"))
+    dumps.select("part", F.to_json("b").alias("value")).write.partitionBy("part").text(path)
+    return scored(ranking.counting(io.read_arena_json(s, f"{path}/*")))
+
+
+@query(f"{views.CODINGS}, {sql.ALPHA.format(delta=sql.DELTAS['absolute'])} SELECT round(alpha, 6) AS alpha, round(observed / expected, 6) AS share FROM al")
+def alpha_distance_table(s: SparkSession, d: str) -> DataFrame:
+    """A distance given as a table of pairs of values."""
+    table_ = s.createDataFrame([(str(a), str(b), float(abs(a - b))) for a in range(1, 6) for b in range(1, 6)], "c string, k string, delta double")
+    return reliability.alpha(_rated(s, d), table_).select(F.round("alpha", 6).alias("alpha"), F.round(F.try_divide("observed", "expected"), 6).alias("share"))
+
+
+@query(f"{_BOOT} SELECT item, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS {n}" for q, n in ((0, "least"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1, "most"))) + " FROM boot GROUP BY item")
+def bootstrap_box(s: SparkSession, d: str) -> DataFrame:
+    return report.box_frame(_drawn(s, d)).select("item", *(F.round(c, 6).alias(c) for c in ("least", "q1", "median", "q3", "most")))
+
+
+@query(f"{B}, {sql.COUNTING}, {sql.AWR} SELECT item, round(c.score, 6) AS x, round(a.score, 6) AS y FROM counted c JOIN awr a USING (item)")
+def score_scatter(s: SparkSession, d: str) -> DataFrame:
+    log = views.brand_log(s, d)
+    return report.scatter_frame(ranking.counting(log), ranking.average_win_rate(log)).select("item", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -66,7 +66,7 @@ def elo(by: str = "0") -> str:
  seq AS (SELECT {by} AS g, row_number() OVER (PARTITION BY {by} ORDER BY ord) AS n, a.k + 1 AS x, b.k + 1 AS y, winner, weight FROM log JOIN idx a ON a.item = "left" JOIN idx b ON b.item = "right"),
  size AS (SELECT count(*) AS items FROM idx), lasts AS (SELECT g, max(n) AS n FROM seq GROUP BY g),
  st AS (SELECT g, 0::BIGINT AS n, list_transform(range(items), lambda c: 1000.0::DOUBLE) AS s FROM lasts, size
-  UNION ALL SELECT g, n, list_transform(range(1, len(s) + 1), lambda c: CASE WHEN c = x THEN s[x] + 4 * (sx - ex) WHEN c = y THEN s[y] + 4 * (sy - (1 - ex)) ELSE s[c] END)
+  UNION ALL SELECT g, n, list_transform(range(1, len(s) + 1), lambda c: CASE WHEN c = x AND c = y THEN s[c] + 4 * (sx + sy - 1) WHEN c = x THEN s[x] + 4 * (sx - ex) WHEN c = y THEN s[y] + 4 * (sy - (1 - ex)) ELSE s[c] END)
   FROM (SELECT st.g, seq.n, s, x, y, 1 / (1 + power(10, (s[y] - s[x]) / 400)) AS ex, weight * CASE winner WHEN 1 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END AS sx, weight * CASE winner WHEN 2 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END AS sy
    FROM st JOIN seq ON seq.g = st.g AND seq.n = st.n + 1)),
  fin AS (SELECT st.g, s FROM st JOIN lasts ON st.g = lasts.g AND st.n = lasts.n),

@@ -9,7 +9,7 @@ from ..operators.log import ARENA_WINNERS, Log, prepare
 
 
 def read_comparisons_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A comparison CSV with a header (left, right, winner, ...), all strings; quoted fields may hold line breaks."""
+    """A comparison CSV with a header (left, right, winner, ...), all strings; quoted fields may hold line breaks, empty ones are null."""
     return spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"')
 
 
@@ -41,8 +41,8 @@ def read_arena_json(spark: SparkSession, path: str, sampled_only: bool = True) -
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One table as CSV files with a header, in the order of the table."""
-    df.write.mode("overwrite").csv(path, header=True)
+    """One table as CSV files with a header, in the order of the table; blanks and quotes within fields stay as they are."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
