@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NotConvergedError
 from ..functions.notation import code_of
 from ..session import cut
 
@@ -124,8 +125,8 @@ def pack_sheets(latest: DataFrame, width: int, max_raters: int = 50_000) -> tupl
     return cut(rows.select("sheet", F.col("s.number").alias("raters"), F.flatten("s.codes").alias("codes"), F.lit(width).alias("width"))), names
 
 
-def fit(packed: DataFrame, names: list[str], k: int = 5, tolerance: float = 1e-3, limit: int = 60) -> Model:
-    """Iterate until no annotator's row of mean confusion moves by more than `tolerance`."""
+def fit(packed: DataFrame, names: list[str], k: int = 5, tolerance: float = 1e-3, limit: int = 500) -> Model:
+    """Iterate until no annotator's row of mean confusion moves by more than `tolerance`; NotConvergedError if `limit` iterations do not do."""
     prior, model = _prior(k), None
     coincidence = np.zeros((k, k))
     for step in range(1, limit + 1):
@@ -167,8 +168,8 @@ def fit(packed: DataFrame, names: list[str], k: int = 5, tolerance: float = 1e-3
         done = model is not None and (not raters or np.abs(share(new) - share(model)).max() < tolerance)
         model = new
         if done:
-            break
-    return model
+            return model
+    raise NotConvergedError(f"the confusion model moved by more than {tolerance} after {limit} iterations")
 
 
 def units(packed: DataFrame, model: Model) -> DataFrame:
