@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,13 +40,3 @@ def l1_norm(x: Column) -> Column:
 
 def l2_norm(x: Column) -> Column:
     return F.sqrt(F.sum(x * x))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, also within higher-order functions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Dot product of two arrays of doubles; null if their lengths differ."""
-    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))

@@ -7,12 +7,11 @@ before deleted, so lineage stays short and a lost executor costs one step. Bradl
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotConvergedError
+from ..functions.ieee import geometric_mean, l1_norm, l2_norm
 from ..session import cut, discard
 from .log import Log, edges, first_places
 
@@ -34,7 +33,7 @@ def _start(log: Log, index: DataFrame | None, value: float | None) -> tuple[Data
 
 def _distance(new: DataFrame, old: DataFrame) -> float:
     both = new.join(old.select("item", F.col("p").alias("q")), "item")
-    return math.sqrt(both.agg(F.sum(F.pow(F.col("p") - F.col("q"), 2))).first()[0] or 0.0)
+    return both.agg(l2_norm(F.col("p") - F.col("q"))).first()[0] or 0.0
 
 
 def _on_edges(e: DataFrame, state: DataFrame) -> DataFrame:
@@ -50,8 +49,8 @@ def bradley_terry(log: Log, index: DataFrame | None = None, win_weight: float =
         total = F.col("pi") + F.col("pj")
         sums = _on_edges(e, state).groupBy(F.col("i").alias("item")).agg(F.sum(F.col("a") * F.col("pj") / total).alias("won"), F.sum(F.col("b") / total).alias("lost"))
         raw = cut(state.select("item").join(sums, "item", "left").select("item", F.coalesce(F.try_divide("won", "lost"), F.lit(tolerance)).alias("p")))
-        mean = raw.agg(F.avg(F.ln(F.when(F.col("p") > 0, F.col("p"))))).first()[0] or 0.0
-        new = cut(raw.select("item", (F.col("p") / math.exp(mean)).alias("p")))
+        mean = raw.agg(geometric_mean(F.when(F.col("p") > 0, F.col("p")))).first()[0] or 1.0
+        new = cut(raw.select("item", (F.col("p") / mean).alias("p")))
         near = _distance(new, state) < tolerance
         discard(raw, *([state] if step > 1 else []))
         state = new
@@ -109,7 +108,7 @@ def eigen(log: Log, index: DataFrame | None = None, win_weight: float = 1.0, tie
             stuck = state.join(lost, "item", "left_anti").agg(F.sum("p")).first()[0] or 0.0
             new = new.select("item", (damping * (F.col("p") + F.lit(stuck / n)) + F.lit((1 - damping) / n * total)).alias("p"))
         new = cut(new)
-        norm = math.sqrt(new.agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0) or 1.0
+        norm = new.agg(l2_norm(F.col("p"))).first()[0] or 1.0
         scaled = new.select("item", (F.col("p") / norm).alias("p"))
         near = _distance(scaled, state) < tolerance
         if step > 1:
@@ -118,7 +117,7 @@ def eigen(log: Log, index: DataFrame | None = None, win_weight: float = 1.0, tie
         if near:
             break
     if damping is not None and n:
-        total = state.agg(F.sum(F.abs("p"))).first()[0] or 1.0
+        total = state.agg(l1_norm(F.col("p"))).first()[0] or 1.0
         state = state.select("item", (F.col("p") / total).alias("p"))
     return state.select("item", F.col("p").alias("score"), F.lit(step).alias("iterations"))
 

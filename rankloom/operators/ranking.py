@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import MissingColumnError
-from ..functions.ieee import nan_to_num
+from ..functions.ieee import nan_mean, nan_to_num
 from ..session import cut
 from . import distributed, kernels
 from .log import DRAW, LEFT, RIGHT, Log, first_places
@@ -50,7 +50,7 @@ def average_win_rate(log: Log, index: DataFrame | None = None, win_weight: float
     a = cut(combined(log, win_weight, tie_weight))
     back = a.select(*log.by, F.col("i").alias("j"), F.col("j").alias("i"), F.col("a").alias("b"))
     rate = a.join(back, [*log.by, "i", "j"], "left").select(*log.by, F.col("i").alias("item"), F.try_divide("a", F.col("a") + F.coalesce("b", F.lit(0.0))).alias("r"))
-    return _on_index(log, rate.groupBy(*log.by, "item").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("score")), index)
+    return _on_index(log, rate.groupBy(*log.by, "item").agg(nan_mean(F.col("r")).alias("score")), index)
 
 
 def read_edges(pdf: pd.DataFrame) -> tuple[pd.Series, kernels.Edges]:

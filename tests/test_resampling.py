@@ -4,7 +4,8 @@ from test_ranking import FOOD, log_of, scores
 
 import rankloom as R
 from rankloom.functions.hashing import hash_draw, hash_number
-from rankloom.operators import report, resampling
+from rankloom.errors import TooLargeError
+from rankloom.operators import ranking, report, resampling
 
 
 @pytest.mark.parametrize("method", ["counting", "average_win_rate", "bradley_terry", "newman", "eigen", "pagerank"])
@@ -54,8 +55,7 @@ def test_elo_resamples_rows_in_drawn_order(spark):
     assert [r["count"] for r in drawn.df.groupBy("resample").count().collect()] == [30] * 3
     rows = R.bootstrap(log, "elo", n_resamples=4, kind="percentile").collect()
     assert len(rows) == 5 and all(r["low"] <= r["high"] for r in rows)
-    with pytest.raises(ValueError):
-        R.bootstrap(log, "elo", n_resamples=4)
+    assert R.bootstrap(log, "elo", n_resamples=4).count() == 5
 
 
 def test_too_few_comparisons(spark):
@@ -84,3 +84,40 @@ def test_median_order(spark):
     drawn = resampling.distribution(log_of(spark, FOOD), "counting", n_resamples=50)
     rows = report.median_order(drawn).orderBy("place").collect()
     assert rows[0]["item"] == "Tacos" and [r["median"] for r in rows] == sorted((r["median"] for r in rows), reverse=True)
+
+
+def points(log, win_weight=1.0, tie_weight=0.5, bonus=0.0, **_):
+    """A ranking of one's own: points by item, and a bonus."""
+    scores = ranking.counting(log, None, win_weight, tie_weight)
+    return scores.withColumn("score", F.col("score") + bonus)
+
+
+def test_any_callable_can_be_bootstrapped(spark):
+    log = log_of(spark, FOOD)
+    own = {r["item"]: r for r in R.bootstrap(log, points, kind="percentile", n_resamples=60, seed=3, bonus=2.0).collect()}
+    told = {r["item"]: r["score"] for r in R.counting(log).collect()}
+    assert {i: r["score"] - 2 for i, r in own.items()} == pytest.approx(told)
+    assert all(r["low"] <= r["score"] <= r["high"] and r["stderr"] > 0 for r in own.values())
+    drawn = R.distribution(log, points, n_resamples=5, seed=3).groupBy("resample").agg(F.sum("score").alias("s")).collect()
+    assert [r["s"] for r in drawn] == [30.0] * 5
+
+
+def test_bca_leaves_out_each_row_of_what_depends_on_order(spark):
+    log = log_of(spark, FOOD)
+    copies, times = resampling.without_each(log, None)
+    assert times == 30 and copies.df.count() == 30 * 29 and copies.df.groupBy("resample").agg(F.countDistinct("ord").alias("n")).filter("n <> 29").count() == 0
+    grouped, times = resampling.without_each(log, 10)
+    assert times == 10 and grouped.df.count() == 10 * 27
+    for row in R.bootstrap(log, "elo", n_resamples=200, seed=1).collect():
+        assert row["low"] < row["score"] < row["high"]
+    with pytest.raises(TooLargeError):
+        resampling.without_each(log, None, max_rows=29)
+
+
+def test_bca_of_a_callable_is_that_of_the_named_method(spark):
+    """Leaving out rows one by one or each different comparison with its number is the same."""
+    log = log_of(spark, FOOD)
+    a = {r["item"]: r for r in R.bootstrap(log, points, n_resamples=400, seed=5).collect()}
+    b = {r["item"]: r for r in R.bootstrap(log, "counting", n_resamples=400, seed=5).collect()}
+    for item in a:
+        assert a[item]["low"] == pytest.approx(b[item]["low"], abs=1.5) and a[item]["high"] == pytest.approx(b[item]["high"], abs=1.5)
