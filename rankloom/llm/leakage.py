@@ -48,6 +48,22 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], *m.span()) for m in _PLAIN.finditer(text)]
 
 
+def bare_words(text: str) -> list[str]:
+    """The words of `words_of`, without where they stand."""
+    return [w for w in _WORD.findall(text) if w[0] not in "<&"] if _SPECIAL.search(text) else _PLAIN.findall(text)
+
+
+class Symbols(dict):
+    """The number of a word as written, folded when it is first met; 2 for words of no item."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = self.number.get(fold(word), 2)
+        return found
+
+
 class Bits:
     """A bit vector with constant-time rank: 64-bit words and the count before each."""
 
@@ -174,6 +190,15 @@ class Items:
             m = min(PHRASE, len(ids))
             for p in range(len(ids) - m + 1) if m else ():
                 self.places[m][tuple(ids[p : p + m])].append((i, p))
+        self.names = sorted(self.ids)
+        at = {i: k for k, i in enumerate(self.names)}
+        self.sizes = np.array([len(self.ids[i]) for i in self.names], np.int64)
+        # of each phrase length: (item number, place) of all phrases in turn, where each phrase's begin, and how many it has
+        self.flat = {}
+        for m, places in self.places.items():
+            number = np.array([len(x) for x in places.values()], np.int64)
+            own = np.array([(at[i], p) for x in places.values() for i, p in x], np.int64).reshape(-1, 2)
+            self.flat[m] = own, np.concatenate([[0], np.cumsum(number)[:-1]]), number
 
 
 def chains(hits: list[tuple[int, int]], m: int) -> list[list[tuple[int, int]]]:
@@ -227,53 +252,65 @@ def together(good: list[tuple[int, int, set[int]]], size: int) -> tuple[float, l
     return best, [good[n] for n in sorted(kept)]
 
 
+def _candidates(hits: np.ndarray, items: Items) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Of hits (document, item number, place in item, place in document, words), those of documents and items that can have enough, by both.
+
+    What a chain can have is its phrases and what stands in the gaps between them.
+    """
+    hits = hits[np.lexsort(hits.T[::-1])]
+    pair = np.concatenate([[True], (hits[1:, :2] != hits[:-1, :2]).any(1)])
+    fresh = pair | np.concatenate([[True], hits[1:, 2] != hits[:-1, 2]])
+    group = np.cumsum(pair) - 1
+    enough = np.bincount(group, fresh * (hits[:, 4] + GAP)) > SHARE * items.sizes[hits[pair, 1]]
+    hits, group = hits[enough[group]], group[enough[group]]
+    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for doc, item, p, q, _ in hits.tolist():
+        out[doc, items.names[item]].append((p, q))
+    return out
+
+
 def search_shard(texts: Sequence[str | None], items: Items) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
     """(row, item, share of the item's words, character spans) of the leaks in the texts of a shard."""
-    folded: dict[str, int] = {}
-    symbols, origins, starts = [], [], []
     number = items.number
+    folded = Symbols(number)
+    symbols, origins, starts, length = [], [], [], 0
     for text in texts:
-        starts.append(len(symbols))
-        last = 0
-        for k, (word, _, _) in enumerate(words_of(text) if text else ()):
-            c = folded.get(word)
-            if c is None:
-                c = folded[word] = number.get(fold(word), 2)
-            if c == 2 and last == 2:
-                continue
-            symbols.append(c)
-            origins.append(k)
-            last = c
-        symbols.append(1)
-        origins.append(-1)
-    symbols.append(0)
-    origins.append(-1)
-    s, origin, start = np.array(symbols, np.int64), np.array(origins, np.int64), np.array(starts, np.int64)
+        starts.append(length)
+        c = np.array([*map(folded.__getitem__, bare_words(text) if text else ()), 1], np.int64)
+        # of a run of words of no item one is enough
+        kept = np.flatnonzero(np.concatenate([[True], (c[1:] != 2) | (c[:-1] != 2)]))
+        symbols.append(c[kept])
+        origins.append(kept)
+        length += len(kept)
+    s, origin, start = np.concatenate([*symbols, [0]]), np.concatenate([*origins, [-1]]), np.array(starts, np.int64)
     index = FMIndex(s, len(number) + 3)
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    parts: list[np.ndarray] = []
     for m, places in items.places.items():
-        keys = list(places)
-        which, low, high = index.search(np.array(keys, np.int64))
+        which, low, high = index.search(np.array(list(places), np.int64))
+        if not len(which):
+            continue
         counts = high - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(which) else np.empty(0, np.int64)
+        rows = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
         at = index.locate(rows)
         docs = np.searchsorted(start, at, side="right") - 1
-        for phrase, doc, word in zip(np.repeat(which, counts).tolist(), docs.tolist(), origin[at].tolist()):
-            for item, p in places[keys[phrase]]:
-                found[doc, item].append((p, word, m))
+        # each occurrence of a phrase once for each place of an item that has the phrase
+        own, first, number_of = items.flat[m]
+        phrase = np.repeat(which, counts)
+        times = number_of[phrase]
+        place = np.repeat(first[phrase] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        parts.append(np.column_stack([np.repeat(docs, times), own[place, 0], own[place, 1], np.repeat(origin[at], times), np.full(len(place), m)]))
+    found = _candidates(np.concatenate(parts), items) if parts else {}
     spots: dict[int, tuple[list, list[int]]] = {}
     for (doc, item), hits in found.items():
-        m, ids = hits[0][2], items.ids[item]
+        ids = items.ids[item]
         size = len(ids)
-        # what a chain can have is its phrases and what stands in the gaps between them
-        if len({p for p, _, _ in hits}) * (m + GAP) <= SHARE * size:
-            continue
-        linked = chains([h[:2] for h in hits], m)
+        m = min(PHRASE, size)
+        linked = chains(hits, m)
         if sum(c[-1][0] + m - c[0][0] for c in linked) <= SHARE * size:
             continue
         if doc not in spots:
             words = words_of(texts[doc])
-            spots[doc] = words, [folded.get(w, 2) for w, _, _ in words]
+            spots[doc] = words, [folded[w] for w, _, _ in words]
         words, told = spots[doc]
         good = [(c[0][1], c[-1][1] + m, covered(c, m, ids, told)) for c in linked if len({p + n for p, _ in c for n in range(m)}) >= min(CHAIN, size)]
         share, good = together(good, size)

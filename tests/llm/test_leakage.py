@@ -95,3 +95,8 @@ def test_every_kth_word_replaced():
 def test_single_words_in_gaps_count():
     assert L.covered([(0, 0), (6, 6)], 3, [1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 2, 3, 0, 5, 0, 7, 8, 9]) == {0, 1, 2, 4, 6, 7, 8}
     assert L.covered([(0, 0)], 3, [1, 2, 3], [1, 2, 3]) == {0, 1, 2}
+
+
+@given(st.text(alphabet="ab <>&;-\n\u00ad\u0301é1.", max_size=60))
+def test_words_with_and_without_their_places(text):
+    assert L.bare_words(text) == [w for w, _, _ in L.words_of(text)]
