@@ -68,3 +68,16 @@ def test_krippendorff_agrees_with_the_core_operator(spark):
     long = codings.unpivot(["sheet_id", "rater"], ["c0", "c1"], "cell", "value").withColumn("unit", F.concat_ws(":", "sheet_id", "cell"))
     for d in ("nominal", "ordinal", "interval"):
         assert C.krippendorff(model.coincidence, d)[0] == pytest.approx(rel.alpha(rel.ratings(long), d).first()["alpha"], abs=1e-9)
+
+
+def test_parameters_in_a_table_give_the_same(spark):
+    """More annotators than the driver may hold: the same model by joins."""
+    _, codings = simulate(spark, seed=5, sheets=40)
+    near, model = C.consensus(codings, ["c0", "c1"])
+    far, joined = C.consensus(codings, ["c0", "c1"], max_raters=3)
+    key = lambda df: {(r["sheet_id"], r["unit"]): (r["label"], r["codes"], r["different"], round(r["confidence"], 6)) for r in df.collect()}
+    assert key(near) == key(far) and joined.iterations == model.iterations
+    assert joined.coincidence == pytest.approx(model.coincidence)
+    a, b = ({r["rater"]: r for r in C.raters_frame(codings, m).collect()} for m in (model, joined))
+    assert {r: b[r]["reliability"] for r in b} == pytest.approx({r: a[r]["reliability"] for r in a})
+    assert all(b[r]["low"] == pytest.approx(a[r]["low"], abs=0.02) and b[r]["codes"] == pytest.approx(a[r]["codes"]) for r in b)
