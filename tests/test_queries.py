@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["item_index", "win_tie_edges_food", "counting_weighted", "average_win_rate_food", "bradley_terry", "newman", "eigen", "pagerank", "elo_by_group", "leaderboard_truncated", "alpha_ordinal", "bootstrap_basic", "p4_found", "p4_loaded", "p5_results"]
+NAMES = ["item_index", "win_tie_edges_food", "counting_weighted", "average_win_rate_food", "bradley_terry", "newman", "eigen", "pagerank", "elo_by_group", "leaderboard_truncated", "alpha_ordinal", "bootstrap_basic", "p4_found", "p4_loaded", "p5_results", "unit_filter", "io_comparisons_csv", "io_arena_json", "bootstrap_own_method", "alpha_distance_table"]
 
 
 def rows(df):

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import rankloom as R
@@ -191,11 +190,19 @@ def test_distributed_equals_single_task(spark, method):
     assert scores(getattr(distributed, method)(log, tolerance=1e-2)) == pytest.approx(one, rel=3e-2)
 
 
-def test_too_many_edges_are_refused(spark):
+def test_pairs_beyond_the_bound_go_to_the_way_for_many(spark):
+    """Counted before anything is solved; the way for many gets the whole log and its result keeps the columns."""
     from rankloom.operators.ranking import solve
 
-    with pytest.raises(PythonException, match="bound"):
-        solve(log_of(spark, FOOD), None, lambda e: (np.ones(e.k), 0.0, 1), max_edges=3).collect()
+    log, asked = log_of(spark, FOOD), []
+
+    def beyond(one, index):
+        asked.append(one.df.count())
+        return spark.createDataFrame([("a", 1.0, 3)], "item string, score double, iterations int")
+
+    rows = solve(log, None, lambda e: (np.ones(e.k), 0.0, 1), beyond, max_edges=3).collect()
+    assert asked == [30] and [(r["item"], r["score"], r["iterations"]) for r in rows] == [("a", 1.0, 3)]
+    assert {r["score"] for r in solve(log, None, lambda e: (np.ones(e.k), 0.0, 1), beyond).collect()} == {1.0} and asked == [30]
 
 
 names = st.sampled_from(["", "a", "b", "é", 'q"', "x,y"])
